@@ -49,7 +49,14 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{top}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged._staged_at = path
+    return staged
+
+
+def discard(staged: DataFrame) -> None:
+    """Remove the files of a frame that ``cut`` returned, once nothing reads them any more."""
+    _remove(staged.sparkSession, staged._staged_at)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
