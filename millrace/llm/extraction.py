@@ -61,10 +61,10 @@ def _flagged(tag: str, attributes: str, inside_article: bool) -> bool:
 
 
 class _Block:
-    __slots__ = ("text", "linked", "junk", "article", "listed")
+    __slots__ = ("text", "linked", "junk", "article", "listed", "heading")
 
-    def __init__(self, text: str, linked: int, junk: bool, article: int, listed: bool):
-        self.text, self.linked, self.junk, self.article, self.listed = text, linked, junk, article, listed
+    def __init__(self, text: str, linked: int, junk: bool, article: int, listed: bool, heading: bool):
+        self.text, self.linked, self.junk, self.article, self.listed, self.heading = text, linked, junk, article, listed, heading
 
 
 def blocks(page: str) -> list[_Block]:
@@ -72,7 +72,7 @@ def blocks(page: str) -> list[_Block]:
     out: list[_Block] = []
     stack: list[tuple[str, bool, int]] = []  # holder, boilerplate, number of the article around or 0
     parts: list[str] = []
-    linked, depth, leaf_junk, listed, articles, at = 0, 0, False, False, 0, 0
+    linked, depth, leaf_junk, heading, listed, articles, at = 0, 0, False, False, False, 0, 0
 
     def add(raw: str) -> None:
         nonlocal linked
@@ -88,7 +88,7 @@ def blocks(page: str) -> list[_Block]:
         text = " ".join(html.unescape(raw).split())
         if text:
             _, junk, article = stack[-1] if stack else ("", False, 0)
-            out.append(_Block(text, min(linked, len(text)), junk or leaf_junk, article, listed))
+            out.append(_Block(text, min(linked, len(text)), junk or leaf_junk, article, listed, heading))
         linked = 0
 
     for m in TOKEN.finditer(page):
@@ -106,7 +106,7 @@ def blocks(page: str) -> list[_Block]:
             add(" ")
         elif tag not in INLINE:
             close()
-            leaf_junk, depth = False, 0
+            leaf_junk, heading, depth = False, False, 0
             attributes = m[4] or m[7] or ""
             if tag in HOLDERS:
                 if tag == "body" and not ending:
@@ -124,6 +124,7 @@ def blocks(page: str) -> list[_Block]:
                 listed = any(s[0] in ("ul", "ol", "dl") for s in stack)
             elif not ending:
                 leaf_junk = _flagged(tag, attributes, True) if attributes else False
+                heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
     add(page[at:])
     close()
     return out
@@ -151,7 +152,7 @@ def decide(found: list[_Block], long: int = 70, dense: float = 0.2) -> list[bool
         if label[i] != OPEN:
             continue
         near = []
-        for step in (-1, 1):
+        for step in (1,) if b.heading else (-1, 1):  # a heading goes with what follows
             k = i + step
             while 0 <= k < len(found) and found[k].article == b.article and (label[k] == OPEN or b.article and found[k].junk):
                 k += step

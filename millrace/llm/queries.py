@@ -65,7 +65,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_language_model, op2_top_k, op3_substring_dedup, op4_html_extraction, op5_byte_bpe, op6_toxicity, op7_suffix_array_dedup, op8_quality_rules, op9_simhash, op10_packing)
 }
 
+#: Words under 50-word windows that also start in a document with a smaller id.
+REPEATS_SQL = """
+WITH split AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 49], ' ') AS run FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM split)
+), lowest AS (
+  SELECT doc_id, i, min(doc_id) OVER (PARTITION BY run) AS low FROM windows
+), gone AS (
+  SELECT doc_id, list(DISTINCT p) AS places FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM lowest WHERE low < doc_id) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(places), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(list_filter(words, lambda x, p: places IS NULL OR NOT list_contains(places, p)), ' '), '')) AS kept_sha256
+FROM split LEFT JOIN gone USING (doc_id)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_substring_dedup": REPEATS_SQL,
+    "op7_suffix_array_dedup": REPEATS_SQL,
     "op2_top_k": """
 WITH usable AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
