@@ -89,3 +89,14 @@ def test_stream_windows(spark, tmp_path):
     q = streaming.combine_per_window(stream, "ts", "1 minute", "1 minute", total=F.sum("v")).writeStream.outputMode("append").format("memory").queryName("closed").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [r["total"] for r in spark.table("closed").collect()] == [12]
+
+
+def test_session_helpers(spark):
+    from millrace.plans import session
+
+    assert session.partitions_for(0, 8) == 8 and session.partitions_for(10 << 30, 8) == 80
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    assert session.tune(spark.range(10), 3) == 3
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert session.coders(spark.range(1)) == {"id": "bigint"}
+    assert "spark.local.dir" in session.Memory(local_dirs="/x").settings()
