@@ -40,7 +40,7 @@ def partitions_for(input_bytes: int, cores: int, target: int = 128 << 20) -> int
 def tune(df: DataFrame, cores: int | None = None) -> int:
     """Sets the session's shuffle partitions by the optimiser's estimate of a frame's size; adaptive execution joins small ones."""
     spark = df.sparkSession
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     n = partitions_for(min(size, 1 << 50), cores or spark.sparkContext.defaultParallelism)
     spark.conf.set("spark.sql.shuffle.partitions", str(n))
     return n
