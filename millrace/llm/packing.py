@@ -32,36 +32,83 @@ from pyspark.sql import types as T
 from millrace.plans.staging import cut
 
 #: Pieces of a partition, words kept in a worker's cache, repacking rounds at most.
-PART, CACHE, ROUNDS = 1 << 16, 300_000, 3
+PART, CACHE, ROUNDS = 1 << 16, 400_000, 3
+#: ASCII characters other than letters, digits and the apostrophe: after a letter they begin a pre-token of their own.
+PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
-_ENCODERS: dict[str, tuple] = {}
+_ENCODERS: dict[str, _Encoder] = {}
 
 
-def _encoder(path: str) -> tuple:
-    """The tokenizer at ``path`` and this worker's cache: word bytes to little-endian 32-bit ids."""
-    if path not in _ENCODERS:
+class _Encoder:
+    """A worker's tokenizer, with caches from words and from words' letters to little-endian 32-bit ids.
+
+    A word of letters and a tail of punctuation is two pre-tokens, so the letters' ids serve whatever follows them, in any ASCII case (the
+    normaliser lower-cases).  Words of letters alone are encoded many at a time: each ends at the only id that closes a word.
+    """
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True  # their strings in a text are ordinary text
-        _ENCODERS[path] = (t, {})
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.words: dict[bytes, bytes] = {}
+        self.letters: dict[bytes, bytes] = {}
+
+    def _one_by_one(self, words: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def _letters(self, new: list[bytes]) -> None:
+        groups = [new[a : a + 200] for a in range(0, len(new), 200)]
+        for own, e in zip(groups, self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(own) or ends[-1] != len(ids):
+                self.letters.update(zip(own, self._one_by_one(own), strict=True))
+                continue
+            raw, a = ids.tobytes(), 0
+            for w, b in zip(own, (4 * ends).tolist(), strict=True):
+                self.letters[w] = raw[a:b]
+                a = b
+
+    def learn(self, new: list[bytes]) -> None:
+        """Adds words to the cache."""
+        if len(self.letters) > CACHE:
+            self.letters.clear()
+        parted, odd = [], []
+        for w in new:
+            low = w.lower()
+            core = low.rstrip(PUNCTUATION)
+            (parted if core.decode().lower().isalpha() else odd).append((w, core, low[len(core) :]))
+        self._letters(list({core for _, core, _ in parted}.difference(self.letters)))
+        tails = list({tail for _, _, tail in parted if tail})
+        of_tail = dict(zip(tails, self._one_by_one(tails), strict=True)) | {b"": b""}
+        for w, core, tail in parted:
+            self.words[w] = self.letters[core] + of_tail[tail]
+        self.words.update(zip((w for w, _, _ in odd), self._one_by_one([w for w, _, _ in odd]), strict=True))
+
+
+def _encoder(path: str) -> _Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = _Encoder(path)
     return _ENCODERS[path]
 
 
 def encode_words(texts: list[str], path: str) -> list[bytes]:
     """The ids of each text, as little-endian 32-bit integers."""
-    tokenizer, cache = _encoder(path)
+    encoder = _encoder(path)
     split = [t.encode().split() for t in texts]
-    new = list({w for s in split for w in s}.difference(cache))
-    if len(cache) + len(new) > CACHE:
-        cache.clear()
-        new = list({w for s in split for w in s})
-    for a in range(0, len(new), 20_000):
-        part = new[a : a + 20_000]
-        for w, e in zip(part, tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-            cache[w] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join(map(cache.__getitem__, s)) for s in split]
+    seen = set().union(*split)
+    new = seen.difference(encoder.words)
+    if len(encoder.words) + len(new) > CACHE:
+        encoder.words.clear()
+        new = seen
+    encoder.learn(list(new))
+    return [b"".join(map(encoder.words.__getitem__, s)) for s in split]
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = 4096, end: int = 1) -> DataFrame:
