@@ -291,9 +291,12 @@ def one_of_each(docs: DataFrame, shingle: int = 5, bits: int = 256, similarity:
     radius = math.floor(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
     prints = cut(fingerprints(docs, shingle, bits))
     stay = grouped(prints, radius, recall).where("component_id = doc_id").select(F.col("doc_id").alias("_d")).distinct()
-    known = docs.where(F.col("doc_id").isNotNull())
-    some = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_d"))
-    kept = known.join(stay, F.col("doc_id") == F.col("_d"), "left_semi")
-    once = kept.join(some, F.col("doc_id") == F.col("_d"), "left_anti")
-    twice = kept.join(some, F.col("doc_id") == F.col("_d"), "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(twice).unionByName(docs.where(F.col("doc_id").isNull()))
+    counts = prints.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
+    kept = docs.join(stay, F.col("doc_id") == F.col("_d"), "left_semi")
+    repeated = counts.where("doc_id is not null and _n > 1").select(F.col("doc_id").alias("_d"))
+    if not repeated.isEmpty():
+        same = F.col("doc_id") == F.col("_d")
+        kept = kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id"]))
+    if not counts.where("doc_id is null").isEmpty():
+        kept = kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    return kept
