@@ -131,8 +131,11 @@ def _beyond(counters: list[np.ndarray], radius: int) -> np.ndarray:
     return more
 
 
-def bit_sliced_pairs(f: np.ndarray, group: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs within the radius among rows of equal, consecutive ``group``, one distance in the order after another."""
+def bit_sliced_pairs(f: np.ndarray, group: np.ndarray, radius: int, label: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within the radius among rows of equal, consecutive ``group``, one distance in the order after another.
+
+    With ``label``, which the caller may change on the way, pairs of equal label are left out.
+    """
     n = len(f)
     if n < 2:
         return
@@ -144,11 +147,11 @@ def bit_sliced_pairs(f: np.ndarray, group: np.ndarray, radius: int) -> Iterator[
     levels = max(radius.bit_length() + 1, 2)
     for d in range(1, int(size.max())):
         same = np.zeros(n + pad, np.uint8)
-        same[: n - d] = group[d:] == group[:-d]
+        same[: n - d] = group[d:] == group[:-d] if label is None else (group[d:] == group[:-d]) & (label[d:] != label[:-d])
         alive = np.packbits(same, bitorder="little").view(np.uint64)
         words = np.flatnonzero(alive)
         if not len(words):
-            break
+            continue
         alive, a = alive[words], 0
         counters = [np.zeros(len(words), np.uint64) for _ in range(levels)]
         full = np.zeros(len(words), np.uint64)
@@ -185,10 +188,9 @@ def _forest(f: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray,
     """Links that connect what bit_sliced_pairs connects, fewer than there are rows."""
     label = np.arange(len(f))
     us, vs = [], []
-    for i, j in bit_sliced_pairs(f, group, radius):
-        new = label[i] != label[j]
+    for i, j in bit_sliced_pairs(f, group, radius, label):  # rows that are connected by now aren't compared again
         changed = False
-        for a, b in zip(i[new].tolist(), j[new].tolist(), strict=True):
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
             x, y = a, b
             while label[x] != x:
                 x = label[x]
@@ -202,7 +204,7 @@ def _forest(f: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray,
         while changed:
             flat = label[label]
             changed = not np.array_equal(flat, label)
-            label = flat
+            label[:] = flat
     return np.array(us, np.int64), np.array(vs, np.int64)
 
 
