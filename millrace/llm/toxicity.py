@@ -74,31 +74,30 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, ids: np.ndarray, factors: int = 8, epochs: int = 40, rate: float = 0.3, decay: float = 1e-4, seed: int = 5) -> Machine:
+def fit(rows: list[np.ndarray], y: np.ndarray, ids: np.ndarray, factors: int = 8, epochs: int = 12, rate: float = 0.3, decay: float = 1e-4, batch: int = 256, seed: int = 5) -> Machine:
     """AdaGrad on the logistic loss with quadratic decay; rows hold indices into ``ids``."""
     rng = np.random.default_rng(seed)
     m = len(ids)
     w, v, b = np.zeros(m), rng.normal(0, 0.05, (m, factors)), float(np.log((y.mean() + 1e-4) / (1 - y.mean() + 1e-4)))
     gw, gv, gb = np.full(m, 1e-6), np.full((m, factors), 1e-6), 1e-6
-    lengths = np.array([len(r) for r in rows])
-    for _ in range(epochs):
-        order = rng.permutation(len(rows))
-        for a in range(0, len(order), 256):
-            own = order[a : a + 256]
-            at = np.concatenate([rows[i] for i in own]) if len(own) else np.empty(0, np.int64)
-            row = np.repeat(np.arange(len(own)), lengths[own])
-            vs = np.zeros((len(own), factors))
-            np.add.at(vs, row, v[at])
-            vv = np.zeros((len(own), factors))
-            np.add.at(vv, row, v[at] ** 2)
-            p = sigmoid(b + np.bincount(row, w[at], len(own)) + 0.5 * (vs * vs - vv).sum(axis=1))
+    some = [i for i, r in enumerate(rows) if len(r)]  # rows without a screened term move the bias alone, which already has their share
+    for _ in range(epochs if some else 0):
+        order = rng.permutation(some)
+        for a in range(0, len(order), batch):
+            own = order[a : a + batch]
+            at = np.concatenate([rows[i] for i in own])
+            lengths = np.array([len(rows[i]) for i in own])
+            row, first = np.repeat(np.arange(len(own)), lengths), np.concatenate([[0], np.cumsum(lengths)[:-1]])
+            va = v[at]
+            vs = np.add.reduceat(va, first, axis=0)
+            p = sigmoid(b + np.add.reduceat(w[at], first) + 0.5 * (vs * vs - np.add.reduceat(va * va, first, axis=0)).sum(axis=1))
             g = (p - y[own]) / len(own)
-            used = np.unique(at)
-            place = np.searchsorted(used, at)
-            dw = np.bincount(place, g[row], len(used)) + decay * w[used] / len(order)
-            dv = np.zeros((len(used), factors))
-            np.add.at(dv, place, g[row, None] * (vs[row] - v[at]))
-            dv += decay * v[used]
+            by_term = np.argsort(at, kind="stable")
+            ordered = at[by_term]
+            starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+            used = ordered[starts]
+            dw = np.add.reduceat(g[row][by_term], starts) + decay * w[used] / len(order)
+            dv = np.add.reduceat((g[row, None] * (vs[row] - va))[by_term], starts, axis=0) + decay * v[used]
             gw[used] += dw * dw
             gv[used] += dv * dv
             gb += g.sum() ** 2
@@ -131,13 +130,25 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = 50_0
     rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("toxic", terms(F.col("text")).alias("terms"))
     rows = cut(rows)
     ids = screened(rows, keep, least)
-    known = F.array(*(F.lit(int(i)) for i in ids)).cast("array<int>") if len(ids) else None
-    share = rows.agg(F.avg("toxic")).first()[0] or 0.0
-    if known is None:
-        odds = np.clip(share, 1e-9, 1 - 1e-9)
-        return Machine(np.empty(0, np.int64), np.empty(0), np.empty((0, 1)), float(np.log(odds / (1 - odds))))
-    found = rows.select("toxic", F.array_intersect("terms", known).alias("terms")).toPandas()
-    return fit([np.searchsorted(ids, np.asarray(r, np.int64)) for r in found["terms"]], found["toxic"].to_numpy(float), ids)
+    if not len(ids):
+        odds = np.clip(rows.agg(F.avg("toxic")).first()[0] or 0.0, 1e-9, 1 - 1e-9)
+        return Machine(ids, np.empty(0), np.empty((0, 1)), float(np.log(odds / (1 - odds))))
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The places of a row's terms in ``ids``."""
+        for batch in batches:
+            lists = batch.column(1)
+            offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            at = np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
+            held = ids[at] == flat
+            ends = np.concatenate([[0], np.cumsum(held)])[offsets]
+            own = pa.ListArray.from_arrays(pa.array((ends - ends[0]).astype(np.int32)), pa.array(at[offsets[0] : offsets[-1]][held[offsets[0] : offsets[-1]]].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), own], names=["toxic", "at"])
+
+    found = rows.select("toxic", "terms").mapInArrow(known, "toxic int, at array<int>").toArrow()
+    lists = found.column("at").combine_chunks()
+    offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy().astype(np.int64)
+    return fit([flat[x:y] for x, y in zip(offsets[:-1], offsets[1:], strict=True)], found.column("toxic").to_numpy().astype(float), ids)
 
 
 def scored(docs: DataFrame, machine: Machine, text: str = "text", into: str = "score") -> DataFrame:
