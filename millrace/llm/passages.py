@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import word_hashes
 from millrace.llm.rolling import Words, mixed, slices
-from millrace.plans.staging import cut
+from millrace.plans.staging import cut, discard
 
 #: A perfect difference set: every residue modulo 31 is a difference of two of these.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
@@ -104,8 +104,8 @@ def minimisers(w: Words, k: int, span: int) -> np.ndarray:
     return np.flatnonzero(_sliding(np.concatenate([pad, least, pad]), span, np.maximum)[: len(value)] == value)
 
 
-def suffix_candidates(docs: DataFrame, min_words: int, k: int = 20, block: int = 5) -> DataFrame:
-    """Like cover_candidates, from neighbours in a sparse suffix array.
+def suffix_candidates(docs: DataFrame, min_words: int, k: int = 20, block: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Like cover_candidates, from neighbours in a sparse suffix array; and the staged suffixes.
 
     A suffix is stored as the hash of its first ``k`` words and six hashes of ``block`` words each, so that
     the sort needs no text and the common prefix of neighbours is known to within a block.
@@ -145,7 +145,7 @@ def suffix_candidates(docs: DataFrame, min_words: int, k: int = 20, block: int =
 
     order = ["a", "c0", "c1", "c2", "doc_id", "pos"]
     rows = cut(_hashed(docs).mapInArrow(suffixes, "a bigint, c0 bigint, c1 bigint, c2 bigint, doc_id bigint, pos int"))
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(neighbours, "doc_id bigint, pos int, reach int")
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(neighbours, "doc_id bigint, pos int, reach int"), rows
 
 
 def _compare(cols: list[np.ndarray], k: int, block: int, first: bool, last: bool) -> tuple[pa.RecordBatch, list[np.ndarray], bool]:
@@ -184,15 +184,19 @@ def _compare(cols: list[np.ndarray], k: int, block: int, first: bool, last: bool
     return out, [c[-2:] for c in cols], False
 
 
-def removed_windows(docs: DataFrame, candidates: DataFrame, min_words: int, back: int) -> DataFrame:
+def _listed(candidates: DataFrame) -> DataFrame:
+    """A row for each document with candidates: x, y (1 if the rows at -1 and -2 are there) and ``near``, its anchors."""
+    return cut(candidates.groupBy("doc_id").agg(
+        F.max(F.when(F.col("pos") == -1, 1).otherwise(0)).alias("x"), F.max(F.when(F.col("pos") == -2, 1).otherwise(0)).alias("y"),
+        F.collect_list(F.when(F.col("pos") >= 0, F.struct("pos", "reach"))).alias("near")))
+
+
+def removed_windows(docs: DataFrame, listed: DataFrame, min_words: int, back: int) -> DataFrame:
     """doc_id, tx (hash of the text), whole, starts: what each document loses.
 
     ``whole``: the document is a copy of a smaller one.  ``starts``: first words of its repeated windows.
     ``back``: how many words before an anchor a window can start.
     """
-    listed = cut(candidates.groupBy("doc_id").agg(
-        F.max(F.when(F.col("pos") == -1, 1).otherwise(0)).alias("x"), F.max(F.when(F.col("pos") == -2, 1).otherwise(0)).alias("y"),
-        F.collect_list(F.when(F.col("pos") >= 0, F.struct("pos", "reach"))).alias("near")))
     copies = listed.where("x = 1 and y = 1").select(F.col("doc_id").alias("_d"))
     near = listed.where("not (x = 1 and y = 1) and size(near) > 0").select(F.col("doc_id").alias("_d"), F.col("near")["pos"].alias("pos"), F.col("near")["reach"].alias("reach"))
     mine = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -218,7 +222,7 @@ def removed_windows(docs: DataFrame, candidates: DataFrame, min_words: int, back
                     pa.array(ids[a:b][w.doc[at]]), pa.array(tx[a:b][w.doc[at]]), pa.array(w.pos[at].astype(np.int32)),
                 ], names=["w1", "w2", "doc_id", "tx", "start"])
 
-    rows = cut(joined.mapInArrow(windows, "w1 bigint, w2 bigint, doc_id bigint, tx bigint, start int"))
+    rows = joined.mapInArrow(windows, "w1 bigint, w2 bigint, doc_id bigint, tx bigint, start int")  # made twice from one shuffle: cheaper than writing them
     low = rows.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
     gone = rows.join(low.hint("shuffle_hash"), ["w1", "w2"]).where("low < doc_id").groupBy("doc_id", "tx").agg(F.sort_array(F.collect_list("start")).alias("starts"))
     whole = copies.select(F.col("_d").alias("doc_id"), F.lit(None).cast("long").alias("tx"), F.array().cast("array<int>").alias("starts"), F.lit(True).alias("whole"))
@@ -229,8 +233,11 @@ def find_repeats(docs: DataFrame, method: str = "cover", min_words: int = 50) ->
     """What each document loses, by difference-cover anchors ("cover") or a sparse suffix array ("suffix")."""
     plain = docs.select("doc_id", "text")
     if method == "cover":
-        return removed_windows(plain, cover_candidates(plain, min_words), min_words, PERIOD - 1)
-    return removed_windows(plain, suffix_candidates(plain, min_words), min_words, min_words - 20)
+        return removed_windows(plain, _listed(cover_candidates(plain, min_words)), min_words, PERIOD - 1)
+    candidates, suffixes = suffix_candidates(plain, min_words)
+    listed = _listed(candidates)
+    discard(suffixes)
+    return removed_windows(plain, listed, min_words, min_words - 20)
 
 
 def _with_repeats(docs: DataFrame, lost: DataFrame) -> DataFrame:
