@@ -8,6 +8,7 @@ shuffle output or cached blocks, and the plan above the cut is planned once.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -48,6 +49,7 @@ def cut(df: DataFrame) -> DataFrame:
         atexit.register(_remove, spark, top)
     path = f"{top}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gc.collect()  # frames in reference cycles still hold their plans, and so their shuffle files
     spark.sparkContext._jvm.System.gc()
     staged = spark.read.schema(df.schema).parquet(path)
     staged._staged_at = path
