@@ -5,8 +5,7 @@
 2. Each distinct fingerprint gets keys, so that near ones share a bucket.
    ``exact_masks``: the bits are cut into radius + 2 blocks and every choice of
    blocks that two fingerprints within the radius must share is a key, so no
-   link is lost.  ``sampled_masks``: keys of sampled bits, for radii beyond that; the
-   number of keys follows from the wanted recall at the radius.
+   link is lost.
 3. Rows are sorted by key and compared bit-sliced: plane b holds bit b of 64
    rows in each word.  For a distance d in the sort order, plane XOR shifted
    plane gives the differing bits of 64 pairs at once; carry-save adders sum
@@ -25,32 +24,21 @@ with a null id get a fingerprint and no component; rows with the same id share t
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.components import components
+from millrace.llm.shingles import one_of_each, shingle_hashes  # noqa: F401
 from millrace.plans.staging import cut
 
 CHUNK = 8192
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
 
 
-def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
-    """XXH64 (seed 42) of every run of ``shingle`` words; of all words if there are fewer; none without words."""
-    w = (text or "").encode().lower().split()  # bytes: only A-Z change, only ASCII white space parts words
-    if not w:
-        return np.empty(0, np.uint64)
-    runs = zip(*(w[i:] for i in range(shingle)), strict=False) if len(w) >= shingle else (w,)
-    return np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), map(b" ".join, runs)), np.uint64)
-
-
 def majority(h: np.ndarray, words: int) -> np.ndarray:
     """The fingerprint as ``words`` 64-bit words; further words come from remixed hashes."""
     out = np.zeros(words, np.uint64)
@@ -86,14 +74,6 @@ def exact_masks(bits: int, radius: int) -> list[np.ndarray]:
     return [np.concatenate(c) for c in itertools.combinations(blocks, 2)]
 
 
-def sampled_masks(bits: int, radius: int, n: int, recall: float, seed: int = 11) -> list[np.ndarray]:
-    """Keys of about log2(n) - 4 sampled bits, as many as find a pair at the radius with probability ``recall``."""
-    width = max(14, math.ceil(math.log2(max(n, 2))) - 4)
-    tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - radius / bits) ** width))
-    rng = np.random.default_rng(seed)
-    return [np.sort(rng.choice(bits, width, replace=False)) for _ in range(tables)]
-
-
 def _keys(f: np.ndarray, masks: list[np.ndarray]) -> np.ndarray:
     """One 64-bit key for each row (axis 0) and mask (axis 1)."""
     bits = np.unpackbits(f.view(np.uint8).reshape(len(f), -1), axis=1, bitorder="little")
@@ -262,18 +242,13 @@ def links(classes: DataFrame, radius: int, masks: list[np.ndarray]) -> DataFrame
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(compared, "u bigint, v bigint")
 
 
-def grouped(prints: DataFrame, radius: int, recall: float | None = None) -> DataFrame:
-    """``prints`` (doc_id, f, as written) with component_id, the smallest doc_id that links reach.
-
-    recall None: no link within the radius is lost; else sampled keys that find a link at the radius with that probability.
-    """
+def grouped(prints: DataFrame, radius: int) -> DataFrame:
+    """``prints`` (doc_id, f, as written) with component_id, the smallest doc_id that links reach; no link within the radius is lost."""
     classes = cut(prints.where(F.col("doc_id").isNotNull()).groupBy("f").agg(F.min("doc_id").cast("long").alias("id"), F.count(F.lit(1)).alias("n")).select("id", "f"))
     first = classes.first()
     if first is None:
         return prints.withColumn("component_id", F.col("doc_id").cast("long"))
-    bits = 64 * len(first["f"])
-    masks = exact_masks(bits, radius) if recall is None else sampled_masks(bits, radius, classes.count(), recall)
-    root = components(links(classes, radius, masks))
+    root = components(links(classes, radius, exact_masks(64 * len(first["f"]), radius)))
     named = classes.join(root, classes["id"] == root["u"], "left").select(F.col("f").alias("_f"), F.coalesce("v", "id").alias("component_id"))
     return prints.join(named, (prints["f"] == named["_f"]) & prints["doc_id"].isNotNull(), "left").drop("_f")
 
@@ -282,23 +257,3 @@ def simhash_rows(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFram
     """doc_id, fingerprint (16 hex digits), component_id of every document."""
     prints = cut(fingerprints(docs, shingle))
     return grouped(prints, radius).select("doc_id", F.lpad(F.lower(F.hex(F.col("f")[0])), 16, "0").alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, shingle: int = 5, bits: int = 256, similarity: float = 0.8, recall: float = 0.95) -> DataFrame:
-    """``docs`` without near copies: of each component the row with the smallest doc_id stays (of equal ids, one row).
-
-    The radius is the expected number of differing bits at ``similarity`` (Jaccard, of shingle sets).
-    Rows with a null id all stay.
-    """
-    radius = math.floor(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-    prints = cut(fingerprints(docs, shingle, bits))
-    stay = grouped(prints, radius, recall).where("component_id = doc_id").select(F.col("doc_id").alias("_d")).distinct()
-    counts = prints.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
-    kept = docs.join(stay, F.col("doc_id") == F.col("_d"), "left_semi")
-    repeated = counts.where("doc_id is not null and _n > 1").select(F.col("doc_id").alias("_d"))
-    if not repeated.isEmpty():
-        same = F.col("doc_id") == F.col("_d")
-        kept = kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id"]))
-    if not counts.where("doc_id is null").isEmpty():
-        kept = kept.unionByName(docs.where(F.col("doc_id").isNull()))
-    return kept

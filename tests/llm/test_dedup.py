@@ -133,6 +133,48 @@ def test_one_of_each_group_stays(docs, texts, none):
     assert simhash.one_of_each(none).count() == 0
 
 
+def shingle_set(text, n=5):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
+
+
+def brute_smallest(texts, least=0.8):
+    """The smallest id of every group of texts that pairs of the similarity connect."""
+    sets = {i: shingle_set(t) for i, t in texts}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {find(i) for i in sets}
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    """Planted pairs of similarity 0.65 to 1, and many texts that share a passage."""
+    rng = np.random.default_rng(5)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    texts, common = [], word(60)
+    for k in range(60):
+        w = word(int(rng.integers(80, 500)))
+        other, shingles = list(w), len(w) - 4
+        n = round((1 - (t := rng.uniform(0.65, 0.99))) / (1 + t) * shingles / 5)
+        for p in rng.choice(np.arange(4, len(w) - 4, 5), min(n, len(w) // 5 - 2), replace=False):
+            other[p] = f"x{p}"
+        texts += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(other))]
+    texts += [(200 + k, " ".join(word(int(rng.integers(0, 40))) + common)) for k in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+    pairs = [len(a & b) / len(a | b) for a, b in ((shingle_set(texts[2 * k][1]), shingle_set(texts[2 * k + 1][1])) for k in range(60))]
+    assert sum(0.8 <= x < 0.9 for x in pairs) > 10 and sum(0.7 <= x < 0.8 for x in pairs) > 10
+    assert {r["doc_id"] for r in simhash.one_of_each(docs).collect()} == brute_smallest(texts)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100), (7, 7)], "u bigint, v bigint")
     got = {r["u"]: r["v"] for r in components.components(edges).collect()}
