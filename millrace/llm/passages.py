@@ -197,8 +197,11 @@ def removed_windows(docs: DataFrame, listed: DataFrame, min_words: int, back: in
     ``whole``: the document is a copy of a smaller one.  ``starts``: first words of its repeated windows.
     ``back``: how many words before an anchor a window can start.
     """
-    copies = listed.where("x = 1 and y = 1").select(F.col("doc_id").alias("_d"))
-    near = listed.where("not (x = 1 and y = 1) and size(near) > 0").select(F.col("doc_id").alias("_d"), F.col("near")["pos"].alias("pos"), F.col("near")["reach"].alias("reach"))
+    tx = F.xxhash64("text")
+    several = docs.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_s")).agg(F.min(tx).alias("_low"), F.max(tx).alias("_high")).where("_low <> _high").select("_s")
+    listed = listed.join(cut(several), F.col("doc_id") == F.col("_s"), "left").withColumn("whole", F.expr("x = 1 and y = 1 and _s is null"))  # of an id with different texts, another text may be the copy
+    copies = listed.where("whole").select(F.col("doc_id").alias("_d"))
+    near = listed.where("not whole and size(near) > 0").select(F.col("doc_id").alias("_d"), F.col("near")["pos"].alias("pos"), F.col("near")["reach"].alias("reach"))
     mine = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     joined = mine.join(near.hint("shuffle_hash"), F.col("doc_id") == F.col("_d")).select("doc_id", F.xxhash64("text").alias("tx"), word_hashes(F.col("text")).alias("h"), "pos", "reach")
 

@@ -55,6 +55,14 @@ def test_passages_are_cut_from_the_text_as_written(docs, texts):
             assert r["n_chars"] == len(r["text"])
 
 
+@pytest.mark.parametrize("method", ["cover", "suffix"])
+def test_a_copy_does_not_speak_for_other_texts_of_its_id(spark, method):
+    run = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(1, run("a", 80)), (5, run("a", 80)), (5, f"{run('b', 70)} {run('p', 60)}"), (9, f"{run('c', 30)} {run('p', 60)}")]
+    got = passages.repeat_rows(spark.createDataFrame(rows, "doc_id bigint, text string"), method).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in got) == [(1, 80, 0), (5, 80, 80), (5, 130, 0), (9, 90, 60)]
+
+
 def test_every_difference_is_covered():
     assert {(a - b) % passages.PERIOD for a in passages.COVER for b in passages.COVER} == set(range(passages.PERIOD))
 
