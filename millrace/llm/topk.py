@@ -27,6 +27,8 @@ from pyspark.sql import Window as W
 from millrace.plans.staging import cut
 
 BLOCK, QUERIES, PIVOTS, SAMPLE = 4096, 512, 32, 2048
+#: Vector lengths with pivots, the most frequent ones; vectors of other lengths are bounded by norms alone.
+LENGTHS = 1000
 
 
 def integers(vectors: DataFrame, scale: int = 256, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -57,7 +59,7 @@ def _to_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 def best_of_block(q: np.ndarray, q_id: int, q_pivots: np.ndarray, v: np.ndarray, ids: np.ndarray, table: np.ndarray, most: float, k: int) -> list[tuple[int, int]]:
     """The k best (score, id) for one query among the candidates of a block, in bound order until no other can be among them."""
-    lower = np.abs(table - q_pivots).max(axis=1)
+    lower = np.abs(table - q_pivots).max(axis=1, initial=0)
     size = float((q.astype(float) ** 2).sum())
     slack = 1e-7 * (size + most) + 1e-3
     upper = (size + most - lower * lower) / 2 + slack
@@ -83,13 +85,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """
     rows = cut(vectors)
     norm = F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e.cast("double"))
-    most = {r["dim"]: (r["m"], r["n"]) for r in rows.groupBy("dim").agg(F.max(norm).alias("m"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(1000).collect()}
+    norms = rows.groupBy("dim").agg(F.max(norm).alias("m"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").limit(LENGTHS)
+    most = {r["dim"]: r["m"] for r in norms.collect()}
     sample: dict[int, list] = {}
-    near = rows.withColumn("_r", F.row_number().over(W.partitionBy("dim", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy(F.xxhash64("id", "v")))).where(F.col("_r") <= SAMPLE // 64)
-    for r in near.select("dim", "v").limit(1000 * SAMPLE).toLocalIterator():
-        if r["dim"] in most and len(sample.setdefault(r["dim"], [])) < SAMPLE:
+    near = rows.where(F.col("dim").isin(list(most))).withColumn("_r", F.row_number().over(W.partitionBy("dim", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy(F.xxhash64("id", "v")))).where(F.col("_r") <= SAMPLE // 64)
+    for r in near.select("dim", "v").toLocalIterator():
+        if len(sample.setdefault(r["dim"], [])) < SAMPLE:
             sample[r["dim"]].append(r["v"])
-    pivots = {d: choose_pivots(_lifted(np.array(s, float).reshape(len(s), d), most[d][0]), PIVOTS) for d, s in sample.items()}
+    pivots = {d: choose_pivots(_lifted(np.array(s, float).reshape(len(s), d), most[d]), PIVOTS) for d, s in sample.items()}
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Adds the pivot table: each candidate's distances."""
@@ -97,13 +100,16 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
             dims, out = batch.column(2).to_numpy(), [None] * batch.num_rows
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
+                if d not in pivots:
+                    for i in at:
+                        out[i] = np.zeros(0)
+                    continue
                 v = batch.column(1).take(pa.array(at)).flatten().to_numpy().astype(float).reshape(len(at), d)
-                for i, x in zip(at, _to_pivots(_lifted(v, most[d][0]), pivots[d]), strict=True):
+                for i, x in zip(at, _to_pivots(_lifted(v, most[d]), pivots[d]), strict=True):
                     out[i] = x
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.float64()))], names=["id", "v", "dim", "p"])
 
-    total = sum(n for _, n in most.values())
-    blocks = max(1, math.ceil(total / BLOCK))
+    blocks = max(1, math.ceil(rows.count() / BLOCK))
     query_rows = rows.where(is_query).distinct()
     query_blocks = max(1, math.ceil(query_rows.count() / QUERIES))
     spread = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n).cast("long")).cast("int")
@@ -121,8 +127,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
                 v = c.field("v").flatten().to_numpy().reshape(len(ids), d)
                 p = c.field("p").flatten().to_numpy().reshape(len(ids), -1)
                 w = q.field("v").flatten().to_numpy().reshape(len(asked), d)
-                to = _to_pivots(np.concatenate([w.astype(float), np.zeros((len(w), 1))], axis=1), pivots[d])
-                out = [(int(i), x, s) for i, vec, dist in zip(asked, w, to, strict=True) for s, x in best_of_block(vec, int(i), dist, v, ids, p, most[d][0], k)]
+                top = most[d] if d in most else float((v.astype(float) ** 2).sum(axis=1).max())
+                to = np.zeros((len(w), 0)) if d not in pivots else _to_pivots(np.concatenate([w.astype(float), np.zeros((len(w), 1))], axis=1), pivots[d])
+                out = [(int(i), x, s) for i, vec, dist in zip(asked, w, to, strict=True) for s, x in best_of_block(vec, int(i), dist, v, ids, p, top, k)]
                 if out:
                     a, b, s = zip(*out, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.int64())], names=["query_id", "vec_id", "score"])

@@ -256,3 +256,22 @@ def test_top_k_equals_brute_force(spark):
             want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(best)}
     assert {tuple(r) for r in topk.top_rows(frame).collect()} == want
     assert topk.top_rows(frame.limit(0)).count() == 0
+
+
+def test_top_k_of_more_lengths_than_have_pivots(spark, monkeypatch):
+    monkeypatch.setattr(topk, "LENGTHS", 2, raising=False)
+    rng = random.Random(9)
+    rows = [(i, [rng.randint(-40, 40) / 16 for _ in range(2 + i % 5)]) for i in range(150)]
+    got = [tuple(r) for r in topk.top_rows(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")).collect()]
+    want = []
+    for q, x in rows:
+        if q % 50 == 0:
+            scores = sorted((-sum(int(256 * a) * int(256 * b) for a, b in zip(x, y, strict=True)), i) for i, y in rows if i != q and len(y) == len(x))
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores[:5])]
+    assert sorted(got) == sorted(want)
+
+
+def test_top_k_of_more_than_a_thousand_lengths(spark):
+    rows = [(50 * d, [1.0] * d) for d in range(1, 1003)] + [(1, [2.0] * 1002), (2, [2.0])]
+    got = {tuple(r) for r in topk.top_rows(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")).collect()}
+    assert got == {(50, 1, 2, 2 << 16), (50 * 1002, 1, 1, 1002 * (2 << 16))}
