@@ -1,29 +1,32 @@
 """Passages of at least ``min_words`` words that a document with a smaller id also holds.
 
 A word goes when a window of ``min_words`` consecutive words covers it whose
-word sequence also starts in a document with a smaller doc_id.  Two operators
-find the candidates and share the exact ending:
-
-* ``cover_candidates`` (substring dedup): difference-cover anchors.  Short
-  windows are hashed only where the position modulo the period is in a
-  difference cover, so any two equal long windows, at any two positions, have an
-  aligned pair of anchors inside.
-* ``suffix_candidates`` (suffix-array dedup): a sparse suffix array.  Only
-  suffixes that start at minimisers stay (every long window selects one by its
-  content); they are range-partitioned and sorted, and each is compared with its
-  neighbours, which tells how far a match can reach to the right.
-
-Around the candidates every full window is hashed to 128 bits, and the smallest
-id of each hash decides: this is the extension to the left and to the right, and
-the result is the same whichever anchors were used.
-
-Scale: rows that move are (hash, id, position) of anchors, then one row for each
-candidate window.  Hot hashes are pre-aggregated before the shuffle; the joins
-back are ordinary equi-joins whose skewed partitions Spark can split.  Exact
-copies are recognised by a whole-document row, so their windows are not expanded.
+word sequence also starts in a document with a smaller doc_id.  Two methods find
+where matches can be, and extend them:
+
+* "cover" (substring dedup): difference-cover anchors.  Short windows are hashed
+  only where the position modulo the period is in a difference cover, so any two
+  equal long windows, at any two positions, have an aligned pair of anchors inside.
+  A shared anchor is extended to the left and right: to every long window around it.
+* "suffix" (suffix-array dedup): a sparse suffix array.  Only suffixes that start at
+  minimisers stay (every long window selects exactly one by its content); they are
+  range-partitioned and sorted, and each is compared with its neighbours, which tells
+  how far a match can reach to the right.  A suffix with an equal neighbour is extended
+  to the left and right: to the long windows that select it, as far as the neighbours reach.
+
+The words of an extension are compared by hash, 128 bits in all, and the smallest id with
+the same extension decides.  For "suffix" the suffix's own hash is half of the key: its
+windows meet those of equal suffixes only.
+
+Scale: rows that move are (hash, id, position) of anchors, the texts that hold a shared one,
+then one row for each candidate window.  The smallest id of each hash is aggregated with map-side
+combine and written; the join back is an ordinary equi-join whose skewed partitions Spark
+can split, so a hot window is not left to one task.  Exact copies are recognised by a
+whole-document row, so their windows are not expanded.
 
 Defined results: null text has no words; rows with a null id take no part and lose nothing; rows with the
-same id are not smaller than each other; fewer words than ``min_words``: nothing goes.
+same id are not smaller than each other; fewer words than ``min_words``: nothing goes; a document
+without a repeat keeps its text to the character.
 """
 
 from __future__ import annotations
@@ -38,13 +41,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import word_hashes
+from millrace.llm.common import free, tidy, word_hashes
 from millrace.llm.rolling import Words, mixed, slices
 from millrace.plans.staging import cut, discard
 
 #: A perfect difference set: every residue modulo 31 is a difference of two of these.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Words of a suffix that its hash covers, and of each block after them.
+HEAD, BLOCK, BLOCKS = 20, 5, 6
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
@@ -60,8 +65,8 @@ def _whole(ids: np.ndarray, w: Words, least: int) -> tuple[np.ndarray, np.ndarra
     return both, np.tile(ids[docs], 2), np.repeat(np.array([-1, -2], np.int32), len(docs))
 
 
-def cover_candidates(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, pos, reach of anchors that another document also holds; pos -1 and -2: a smaller document is the same."""
+def cover_candidates(docs: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, pos, reach of anchors that another document also holds (pos -1 and -2: a smaller document is the same); and the staged hashes."""
     width = min_words - PERIOD + 1
     cover = np.isin(np.arange(PERIOD), COVER)
 
@@ -77,10 +82,9 @@ def cover_candidates(docs: DataFrame, min_words: int) -> DataFrame:
                     pa.array(np.concatenate([w.pos[at].astype(np.int32), pos])),
                 ], names=["a", "doc_id", "pos"])
 
-    rows = _hashed(docs).mapInArrow(anchors, "a bigint, doc_id bigint, pos int")
-    shared = rows.groupBy("a").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    found = rows.join(shared.hint("shuffle_hash"), "a")
-    return found.where("pos >= 0 or low < doc_id").select("doc_id", "pos", F.lit(min_words).alias("reach"))
+    rows = _hashed(docs).mapInArrow(tidy(anchors), "a bigint, doc_id bigint, pos int")
+    shared = cut(rows.groupBy("a").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("a", "low"))
+    return rows.join(shared, "a").where("pos >= 0 or low < doc_id").select("doc_id", "pos", F.lit(min_words).alias("reach")), shared
 
 
 def _sliding(x: np.ndarray, width: int, pick: Callable) -> np.ndarray:
@@ -92,31 +96,31 @@ def _sliding(x: np.ndarray, width: int, pick: Callable) -> np.ndarray:
     return x if step == width else pick(x[: len(x) - (width - step)], x[width - step :])
 
 
-def minimisers(w: Words, k: int, span: int) -> np.ndarray:
-    """Flat indices of the k-word windows that are smallest among ``span`` consecutive ones of their document."""
-    n = len(w.flat)
-    if n < k + span - 1:
-        return np.empty(0, np.int64)
-    value = np.maximum(mixed(w.window(np.arange(n - k + 1), k)), np.uint64(1))
-    least = _sliding(value, span, np.minimum)
-    least[w.left[: len(least)] < k + span - 1] = 0  # this window would leave its document
-    pad = np.zeros(span - 1, np.uint64)
-    return np.flatnonzero(_sliding(np.concatenate([pad, least, pad]), span, np.maximum)[: len(value)] == value)
+def selected(w: Words, k: int, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of all windows of k + span - 1 words, and the k-word window that each selects: the smallest hash among its ``span``, the leftmost of equal ones.
+
+    Both are flat indices in ascending order.
+    """
+    starts = np.flatnonzero(w.left >= k + span - 1)
+    if not len(starts):
+        return starts, starts
+    value = mixed(w.window(np.arange(len(w.flat) - k + 1), k))
+    return starts, _sliding(np.arange(len(value)), span, lambda x, y: np.where(value[y] < value[x], y, x))[starts]
 
 
-def suffix_candidates(docs: DataFrame, min_words: int, k: int = 20, block: int = 5) -> tuple[DataFrame, DataFrame]:
+def suffix_candidates(docs: DataFrame, min_words: int, k: int = HEAD, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Like cover_candidates, from neighbours in a sparse suffix array; and the staged suffixes.
 
     A suffix is stored as the hash of its first ``k`` words and six hashes of ``block`` words each, so that
     the sort needs no text and the common prefix of neighbours is known to within a block.
     """
-    span, blocks = min_words - k + 1, 6
+    span, blocks = min_words - k + 1, BLOCKS
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for a, b, w in slices(batch.column(1)):
-                at = minimisers(w, k, span)
+                at = np.unique(selected(w, k, span)[1])
                 h, doc, pos = _whole(ids[a:b], w, min_words)
                 pieces = []
                 for i in range(blocks):
@@ -144,8 +148,8 @@ def suffix_candidates(docs: DataFrame, min_words: int, k: int = 20, block: int =
             yield _compare(held, k, block, first, True)[0]
 
     order = ["a", "c0", "c1", "c2", "doc_id", "pos"]
-    rows = cut(_hashed(docs).mapInArrow(suffixes, "a bigint, c0 bigint, c1 bigint, c2 bigint, doc_id bigint, pos int"))
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(neighbours, "doc_id bigint, pos int, reach int"), rows
+    rows = cut(_hashed(docs).mapInArrow(tidy(suffixes), "a bigint, c0 bigint, c1 bigint, c2 bigint, doc_id bigint, pos int"))
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(tidy(neighbours), "doc_id bigint, pos int, reach int"), rows
 
 
 def _compare(cols: list[np.ndarray], k: int, block: int, first: bool, last: bool) -> tuple[pa.RecordBatch, list[np.ndarray], bool]:
@@ -191,11 +195,31 @@ def _listed(candidates: DataFrame) -> DataFrame:
         F.collect_list(F.when(F.col("pos") >= 0, F.struct("pos", "reach"))).alias("near")))
 
 
-def removed_windows(docs: DataFrame, listed: DataFrame, min_words: int, back: int) -> DataFrame:
+def _around(w: Words, row: np.ndarray, p: np.ndarray, r: np.ndarray, min_words: int, method: str) -> tuple[np.ndarray, np.ndarray]:
+    """Flat starts of the long windows that extend the anchors (row, p, reach r), and the first half of their keys."""
+    if method == "cover":
+        lo, hi = np.maximum(p - PERIOD + 1, 0), np.minimum(p, w.lengths[row] - min_words)
+        ok = hi >= lo
+        mark = np.zeros(len(w.flat) + 1, np.int64)
+        np.add.at(mark, w.offsets[row[ok]] + lo[ok], 1)
+        np.add.at(mark, w.offsets[row[ok]] + hi[ok] + 1, -1)
+        at = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+        return at, w.window(at, min_words, 0)
+    starts, chosen = selected(w, HEAD, min_words - HEAD + 1)
+    near = w.offsets[row] + p
+    order = np.lexsort((-r, near))  # repeated rows list an anchor twice; the longest reach counts
+    near, r = near[order], r[order]
+    if not len(near):
+        return near, near.view(np.uint64)
+    k = np.minimum(np.searchsorted(near, chosen), len(near) - 1)
+    ok = (near[k] == chosen) & (starts + min_words <= chosen + r[k])
+    return starts[ok], mixed(w.window(chosen[ok], HEAD))
+
+
+def removed_windows(docs: DataFrame, listed: DataFrame, min_words: int, method: str) -> DataFrame:
     """doc_id, tx (hash of the text), whole, starts: what each document loses.
 
     ``whole``: the document is a copy of a smaller one.  ``starts``: first words of its repeated windows.
-    ``back``: how many words before an anchor a window can start.
     """
     tx = F.xxhash64("text")
     several = docs.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_s")).agg(F.min(tx).alias("_low"), F.max(tx).alias("_high")).where("_low <> _high").select("_s")
@@ -203,7 +227,7 @@ def removed_windows(docs: DataFrame, listed: DataFrame, min_words: int, back: in
     copies = listed.where("whole").select(F.col("doc_id").alias("_d"))
     near = listed.where("not whole and size(near) > 0").select(F.col("doc_id").alias("_d"), F.col("near")["pos"].alias("pos"), F.col("near")["reach"].alias("reach"))
     mine = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    joined = mine.join(near.hint("shuffle_hash"), F.col("doc_id") == F.col("_d")).select("doc_id", F.xxhash64("text").alias("tx"), word_hashes(F.col("text")).alias("h"), "pos", "reach")
+    joined = mine.join(near, F.col("doc_id") == F.col("_d")).select("doc_id", F.xxhash64("text").alias("tx"), word_hashes(F.col("text")).alias("h"), "pos", "reach")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,43 +235,40 @@ def removed_windows(docs: DataFrame, listed: DataFrame, min_words: int, back: in
             offsets = batch.column(3).offsets.to_numpy().astype(np.int64)
             pos, reach = (batch.column(i).values.to_numpy().astype(np.int64) for i in (3, 4))
             for a, b, w in slices(batch.column(2)):
-                p, r = pos[offsets[a] : offsets[b]], reach[offsets[a] : offsets[b]]
                 row = np.repeat(np.arange(b - a), np.diff(offsets[a : b + 1]))
-                lo = np.maximum(p - back, 0)
-                hi = np.minimum(np.minimum(p, p + r - min_words), w.lengths[row] - min_words)
-                ok = hi >= lo
-                mark = np.zeros(len(w.flat) + 1, np.int64)
-                np.add.at(mark, w.offsets[row[ok]] + lo[ok], 1)
-                np.add.at(mark, w.offsets[row[ok]] + hi[ok] + 1, -1)
-                at = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+                at, key = _around(w, row, pos[offsets[a] : offsets[b]], reach[offsets[a] : offsets[b]], min_words, method)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(w.window(at, min_words, 0).view(np.int64)), pa.array(w.window(at, min_words, 1).view(np.int64)),
+                    pa.array(key.view(np.int64)), pa.array(w.window(at, min_words, 1).view(np.int64)),
                     pa.array(ids[a:b][w.doc[at]]), pa.array(tx[a:b][w.doc[at]]), pa.array(w.pos[at].astype(np.int32)),
                 ], names=["w1", "w2", "doc_id", "tx", "start"])
 
-    rows = joined.mapInArrow(windows, "w1 bigint, w2 bigint, doc_id bigint, tx bigint, start int")  # made twice from one shuffle: cheaper than writing them
-    low = rows.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
-    gone = rows.join(low.hint("shuffle_hash"), ["w1", "w2"]).where("low < doc_id").groupBy("doc_id", "tx").agg(F.sort_array(F.collect_list("start")).alias("starts"))
+    rows = cut(joined.mapInArrow(tidy(windows), "w1 bigint, w2 bigint, doc_id bigint, tx bigint, start int"))
+    low = cut(rows.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high"))
+    gone = rows.join(low, ["w1", "w2"]).where("low < doc_id").groupBy("doc_id", "tx").agg(F.sort_array(F.collect_list("start")).alias("starts"))
     whole = copies.select(F.col("_d").alias("doc_id"), F.lit(None).cast("long").alias("tx"), F.array().cast("array<int>").alias("starts"), F.lit(True).alias("whole"))
-    return cut(gone.withColumn("whole", F.lit(False)).unionByName(whole))
+    lost = cut(gone.withColumn("whole", F.lit(False)).unionByName(whole))
+    discard(rows)
+    discard(low)
+    return lost
 
 
 def find_repeats(docs: DataFrame, method: str = "cover", min_words: int = 50) -> DataFrame:
     """What each document loses, by difference-cover anchors ("cover") or a sparse suffix array ("suffix")."""
     plain = docs.select("doc_id", "text")
-    if method == "cover":
-        return removed_windows(plain, _listed(cover_candidates(plain, min_words)), min_words, PERIOD - 1)
-    candidates, suffixes = suffix_candidates(plain, min_words)
+    candidates, staged = (cover_candidates if method == "cover" else suffix_candidates)(plain, min_words)
     listed = _listed(candidates)
-    discard(suffixes)
-    return removed_windows(plain, listed, min_words, min_words - 20)
+    discard(staged)
+    lost = removed_windows(plain, listed, min_words, method)
+    discard(listed)
+    return lost
 
 
-def _with_repeats(docs: DataFrame, lost: DataFrame) -> DataFrame:
-    """docs with ``_starts`` and ``_whole``."""
-    n = lost.select(F.col("doc_id").alias("_d"), F.col("tx").alias("_tx"), F.col("starts").alias("_starts"), F.col("whole").alias("_whole"))
-    match = (F.col("doc_id").cast("long") == F.col("_d")) & (F.col("_whole") | (F.xxhash64(F.col("text")) == F.col("_tx")))
-    return docs.join(n.hint("shuffle_hash"), match, "left").drop("_d", "_tx")
+def _with_repeats(docs: DataFrame, lost: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs with two more columns, whose names are returned: starts of repeated windows, and whether all of the text goes."""
+    d, tx, starts, whole = free(docs, "d", "tx", "starts", "whole")
+    n = lost.select(F.col("doc_id").alias(d), F.col("tx").alias(tx), F.col("starts").alias(starts), F.col("whole").alias(whole))
+    match = (F.col("doc_id").cast("long") == F.col(d)) & (F.col(whole) | (F.xxhash64(F.col("text")) == F.col(tx)))
+    return docs.join(n, match, "left").drop(d, tx), starts, whole
 
 
 def _covered(n: int, starts: np.ndarray, whole: bool, min_words: int) -> np.ndarray:
@@ -277,7 +298,7 @@ def repeat_rows(docs: DataFrame, method: str, min_words: int = 50) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return _with_repeats(plain, find_repeats(docs, method, min_words)).mapInArrow(digest, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string")
+    return _with_repeats(plain, find_repeats(docs, method, min_words))[0].mapInArrow(tidy(digest), f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, method: str, min_words: int = 50) -> DataFrame:
@@ -299,13 +320,10 @@ def without_repeats(docs: DataFrame, method: str, min_words: int = 50) -> DataFr
                 out.append(t)
             yield pd.Series(out, dtype=object)
 
-    pruned = F.pandas_udf(cut_out, "string")
-    return _text_replaced(docs, _with_repeats(docs, find_repeats(docs, method, min_words)), pruned)
-
-
-def _text_replaced(docs: DataFrame, joined: DataFrame, pruned: Callable) -> DataFrame:
-    changed = F.when(F.col("_starts").isNotNull(), pruned("text", "_starts", "_whole")).otherwise(F.col("text"))
-    out = joined.withColumn("text", changed)
+    joined, starts, whole = _with_repeats(docs, find_repeats(docs, method, min_words))
+    changed = F.col(starts).isNotNull()
+    pruned = F.pandas_udf(cut_out, "string")(F.when(changed, F.col("text")), F.col(starts), F.col(whole))  # a Python function sees every row: unchanged ones as null
+    out = joined.withColumn("text", F.when(changed, pruned).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_starts").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))

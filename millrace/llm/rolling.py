@@ -16,10 +16,10 @@ import pyarrow as pa
 #: Odd multipliers modulo 2^64.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Words of a batch that are worked on at a time; one longer document goes alone.
-SLICE = 1 << 20
+SLICE = 1 << 17
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = pow(base, -1, 1 << 64)
     up, down = np.full(n, base, np.uint64), np.full(n, inverse, np.uint64)
@@ -31,6 +31,12 @@ def _rounded(n: int) -> int:
     return max(SLICE + 1, 1 << (n - 1).bit_length())
 
 
+def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers for ``n`` words; those of a longer text are not kept."""
+    n = _rounded(n)
+    return _powers(base, n) if n <= SLICE + 1 else _powers.__wrapped__(base, n)
+
+
 class Words:
     """Word hashes of consecutive documents."""
 
@@ -41,18 +47,19 @@ class Words:
         self.pos = np.arange(len(flat)) - offsets[self.doc]
         self.left = self.lengths[self.doc] - self.pos  # words from here to the document's end
         self._sums: dict[int, np.ndarray] = {}
+        self._down: dict[int, np.ndarray] = {}
 
     def _prefix(self, kind: int) -> np.ndarray:
         if kind not in self._sums:
             h = self.flat if kind == 0 else (self.flat ^ (self.flat >> np.uint64(29))) * np.uint64(BASES[0])
-            up = _powers(BASES[kind], _rounded(len(h) + 1))[0]
+            up, self._down[kind] = _power(BASES[kind], len(h) + 1)
             self._sums[kind] = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)], dtype=np.uint64)])
         return self._sums[kind]
 
     def window(self, at: np.ndarray, width: int | np.ndarray, kind: int = 0) -> np.ndarray:
         """Hash of ``width`` words from each flat index; the caller keeps windows inside documents."""
         sums = self._prefix(kind)
-        return (sums[at + width] - sums[at]) * _powers(BASES[kind], _rounded(len(self.flat) + 1))[1][at]
+        return (sums[at + width] - sums[at]) * self._down[kind][at]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -32,7 +32,7 @@ def docs(spark, texts):
     rows += [(None, texts[0][1], "en", "s0", 1), (None, None, None, None, None), rows[0]]
     from pyspark.sql import functions as F
 
-    clash = {n: F.lit(1) for n in ("h", "w1", "f", "key", "u", "v", "score", "kept", "length", "tail", "ids", "id", "a", "pos")}
+    clash = {n: F.lit(1) for n in ("h", "w1", "f", "key", "u", "v", "score", "kept", "length", "tail", "ids", "id", "a", "pos", "_d", "_tx", "_starts", "_whole", "_x", "_o", "_stats", "_judged", "_toxicity", "_g", "_m", "_c", "_n", "_s", "_q")}
     return spark.createDataFrame(rows, SCHEMA).withColumns(clash).repartition(3)
 
 

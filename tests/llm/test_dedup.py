@@ -188,3 +188,28 @@ def test_components_of_a_long_chain(spark):
     got = {r["u"]: r["v"] for r in components.components(edges).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {101: 100}
     assert components.components(edges.limit(0)).count() == 0
+
+
+def test_slices_hold_all_documents_and_one_window_selects_one_suffix(monkeypatch):
+    import pyarrow as pa
+
+    from millrace.llm import rolling
+
+    rng = np.random.default_rng(3)
+    lists = [rng.integers(0, 4, n).tolist() for n in (0, 7, 90, 3, 400, 0, 55, 1000)]
+    column = pa.array(lists, pa.list_(pa.int64()))
+    want = {}
+    for size in (1 << 17, 64, 10):
+        monkeypatch.setattr(rolling, "SLICE", size)
+        got = {}
+        for a, _, w in rolling.slices(column):
+            starts, chosen = passages.selected(w, 5, 8)
+            assert (np.diff(chosen) >= 0).all() and (chosen >= starts).all() and (chosen <= starts + 7).all()
+            for s, c in zip(starts.tolist(), chosen.tolist(), strict=True):
+                got[a + int(w.doc[s]), int(w.pos[s])] = (int(w.pos[c]), int(w.window(np.array([s]), 12)[0]))
+        assert len(got) == sum(max(0, len(x) - 11) for x in lists)
+        want = want or got
+        assert got == want
+    same = {}
+    for (_, at), (chosen, h) in want.items():
+        assert same.setdefault(h, chosen - at) == chosen - at  # equal windows select the same place
