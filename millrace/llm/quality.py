@@ -1,40 +1,69 @@
 """Quality rules: robust multivariate outliers within each language and source.
 
-Every document becomes a vector of transformed text statistics.  For each
-(language, source) the minimum-covariance-determinant estimate of centre and
-scatter is found by concentration steps: start from medians and median absolute
-deviations, keep the ``support`` share of rows nearest to the centre, estimate
-again from those, repeat.  A document is rejected when its squared Mahalanobis
-distance, shrunk for short texts whose statistics are noisy, exceeds the cutoff.
+Every document becomes a vector of transformed text statistics.  For each (language, source) the
+minimum-covariance-determinant estimate of centre and scatter is searched by concentration steps from three
+deterministic starts: medians with median absolute deviations, the half of the rows nearest to these, and the
+mean and covariance of all rows.  A step keeps the ``support`` share of rows nearest to the centre and estimates again
+from those; in the end the start with the smallest determinant wins (the first of equal ones).  The scatter is multiplied by the
+consistency factor of the support, and a document is rejected when its squared Mahalanobis distance exceeds the ``sure``
+quantile of the chi-squared distribution.
+
+Two things make this behave alike at every size, without a switch:
+
+* A group's estimate counts with its rows beside ``prior`` rows that look like its language, and the language's beside
+  ``prior`` rows that look like all documents; so small groups lean on what is around them.
+* A statistic of a short text is noisy.  Its deviation is divided by sqrt(1 + noise / (n * variance)), n the words, characters or
+  lines that it was counted over.
 
 Only DataFrame functions are used.  Rows never move by group: each step is an
-aggregate with map-side combine (moments, or a histogram of distances with a
-bounded number of bins) and a join of the rows with one row per group.
+aggregate with map-side combine (exact percentiles over a bounded number of values, moments) and a join of the rows with one row per group.
 Statistics are rounded to multiples of 1/4096, so sums of products are exact in
-doubles and do not depend on the order in which Spark adds them.
+doubles and do not depend on the order in which Spark adds them.  Distances are counted in 256 bins for each doubling; rows in the
+last bin are ties and are all kept, so a step's subset is at least the support's share.
 
 Defined results: null or blank text has no words and fails the base rule; null
-language or source is a group like any other; groups below ``min_group`` rows are
-pooled by language, and a pool that is still smaller rejects nothing; repeated
-rows are judged alike, each for itself.
+language or source is a group like any other; repeated rows are judged alike, each for itself.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from millrace.llm.common import GAP, let, words
-from millrace.plans.staging import cut
+from millrace.plans.staging import cut, discard
 
 SYMBOLS = r"[^#*$%&|<>]+"
 
-#: name, smallest standard deviation that counts: keeps a statistic that is zero in most documents from rejecting all others.
-FEATURES = (("word_length", 0.05), ("symbols", 0.04), ("repeats", 0.06), ("dup_lines", 0.10), ("capitals", 0.04))
+#: name, smallest standard deviation that counts (keeps a statistic that is zero in most documents from rejecting all others), sampling noise of one
+#: unit (a share's square root has 1/4 if units are independent; here neighbours are alike, so 1), and the unit: words, characters or lines.
+FEATURES = (("word_length", 0.05, 0.25, "words"), ("symbols", 0.04, 1.0, "chars"), ("repeats", 0.06, 1.0, "words"), ("dup_lines", 0.10, 0.5, "lines"), ("capitals", 0.04, 1.0, "chars"))
 D = len(FEATURES)
-#: Squared distance is counted in bins of a sixteenth of a power of two.
-BINS_PER_OCTAVE, LOWEST = 16, -20
+#: Bins of the squared distance for each doubling; distances below 2^LOWEST are one bin.
+BINS_PER_OCTAVE, LOWEST = 256, -20
+
+
+def chi_squared(x: float, df: int) -> float:
+    """The distribution function of chi-squared with an odd number of degrees of freedom."""
+    out = math.erf(math.sqrt(x / 2))
+    for k in range(1, df, 2):
+        out -= (x / 2) ** (k / 2) * math.exp(-x / 2) / math.gamma(k / 2 + 1)
+    return out
+
+
+def chi_squared_quantile(p: float, df: int) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi_squared(mid, df) < p else (low, mid)
+    return low
+
+
+def consistency(support: float) -> float:
+    """What the covariance of the nearest ``support`` share of normal rows is multiplied by to be that of all."""
+    return support / chi_squared(chi_squared_quantile(support, D), D + 2)
 
 
 def _repeat_words(w: Column, window: int) -> Column:
@@ -100,90 +129,118 @@ def _vector(s: Column) -> Column:
     return F.array(*(F.round(v * 4096) / 4096 for v in x))
 
 
-def _low(cols: list[str], table: DataFrame, value: str, share: Column) -> DataFrame:
-    """Per group the smallest value with at least ``share`` of the rows at or below it; from counts per value."""
-    counts = table.groupBy(*cols, value).agg(F.count(F.lit(1)).alias("_n"))
-    w = W.partitionBy(*cols)
-    run = counts.withColumns({"_run": F.sum("_n").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0)), "_all": F.sum("_n").over(w)})
-    return run.where(F.col("_run") >= F.ceil(share * F.col("_all"))).groupBy(*cols).agg(F.min(value).alias(value))
+def _moments(rows: DataFrame, *by: str) -> DataFrame:
+    """Count n, sums s and products p of the vectors ``x``."""
+    x = [F.col("x")[i] for i in range(D)]
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("n"), F.array(*map(F.sum, x)).alias("s"), F.array(*(F.sum(x[i] * x[j]) for i in range(D) for j in range(i + 1))).alias("p"))
 
 
-def _join(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    g = groups.withColumnRenamed("_g", "_gg")
-    return rows.join(g, rows["_g"].eqNullSafe(g["_gg"]), "left").drop("_gg")
+def _cholesky(groups: DataFrame, factor: float = 1.0) -> DataFrame:
+    """Adds, from moments: centre m, the lower triangle c of the scatter's factor, half its log-determinant z."""
+    m = [F.col("s")[i] / F.col("n") for i in range(D)]
+    cell = lambda i, j: F.col(f"l{i}{j}")
 
+    def rest(i: int, j: int) -> Column:
+        own = factor * (F.col("p")[i * (i + 1) // 2 + j] / F.col("n") - m[i] * m[j])
+        own = F.greatest(own, F.lit(0.0)) + FEATURES[i][1] ** 2 if i == j else own
+        for t in range(j):
+            own = own - cell(i, t) * cell(j, t)
+        return F.sqrt(F.greatest(own, F.lit(FEATURES[i][1] ** 2))) if i == j else own / cell(j, j)
 
-def _cholesky(groups: DataFrame) -> DataFrame:
-    """From moments over the kept rows: centre ``_m`` and the lower triangle of the scatter's factor ``_c``."""
-    m = [F.col(f"_s{i}") / F.col("_k") for i in range(D)]
-    out = groups.select("_g", *(m[i].alias(f"_m{i}") for i in range(D)), *(F.greatest(F.lit(0.0) if i == j else F.lit(-1e300), F.col(f"_p{i}{j}") / F.col("_k") - m[i] * m[j]).alias(f"_v{i}{j}") for i in range(D) for j in range(i + 1)))
-    for i in range(D):
-        floor = FEATURES[i][1] ** 2
-        for j in range(i + 1):
-            rest = F.col(f"_v{i}{j}")
-            for k in range(j):
-                rest = rest - F.col(f"_l{i}{k}") * F.col(f"_l{j}{k}")
-            out = out.withColumn(f"_l{i}{j}", F.sqrt(F.greatest(rest + floor, F.lit(floor))) if i == j else rest / F.col(f"_l{j}{j}"))
-    return out.select("_g", F.array(*(f"_m{i}" for i in range(D))).alias("_m"), F.array(*(F.array(*(f"_l{i}{j}" for j in range(i + 1))) for i in range(D))).alias("_c"))
-
-
-def _distance(rows: DataFrame, groups: DataFrame, name: str) -> DataFrame:
-    """Adds the squared Mahalanobis distance, by forward substitution; null without an estimate."""
-    out = _join(rows, groups)
+    out = groups
+    for j in range(D):
+        out = out.withColumn(f"l{j}{j}", rest(j, j))
+        if j + 1 < D:
+            out = out.withColumns({f"l{i}{j}": rest(i, j) for i in range(j + 1, D)})
+    triangle = F.array(*(F.array(*(cell(i, j) for j in range(i + 1))) for i in range(D)))
+    return out.select(*groups.columns, F.array(*m).alias("m"), triangle.alias("c"), sum((F.log(cell(i, i)) for i in range(1, D)), F.log(cell(0, 0))).alias("z"))
+
+
+def _distance(rows: DataFrame, shrink: list[Column] | None = None) -> DataFrame:
+    """d, the squared Mahalanobis distance of ``x`` by forward substitution, in the place of m and c."""
+    out = rows
     for i in range(D):
-        rest = F.col("_x")[i] - F.col("_m")[i]
+        own = (F.col("x")[i] - F.col("m")[i]) * (shrink[i] if shrink else F.lit(1.0))
         for j in range(i):
-            rest = rest - F.col("_c")[i][j] * F.col(f"_y{j}")
-        out = out.withColumn(f"_y{i}", rest / F.col("_c")[i][i])
-    total = sum((F.col(f"_y{i}") * F.col(f"_y{i}") for i in range(1, D)), F.col("_y0") * F.col("_y0"))
-    return out.withColumn(name, total).drop("_m", "_c", *(f"_y{i}" for i in range(D)))
-
-
-def _moments(near: DataFrame) -> DataFrame:
-    x = [F.col("_x")[i] for i in range(D)]
-    return near.groupBy("_g").agg(F.count(F.lit(1)).alias("_k"), *(F.sum(x[i]).alias(f"_s{i}") for i in range(D)), *(F.sum(x[i] * x[j]).alias(f"_p{i}{j}") for i in range(D) for j in range(i + 1)))
-
-
-def estimates(rows: DataFrame, support: float = 0.75, steps: int = 4) -> DataFrame:
-    """Centre and scatter of each group ``_g`` of the vectors ``_x`` by concentration steps."""
-    long = rows.select("_g", F.posexplode("_x").alias("_f", "_v"))
-    middle = _low(["_g", "_f"], long, "_v", F.lit(0.5)).withColumnsRenamed({"_g": "_gg", "_f": "_ff", "_v": "_mid"})
-    off = long.join(middle, long["_g"].eqNullSafe(middle["_gg"]) & (long["_f"] == middle["_ff"])).select("_g", "_f", "_mid", F.abs(F.col("_v") - F.col("_mid")).alias("_off"))
-    spread = _low(["_g", "_f", "_mid"], off, "_off", F.lit(0.5))
-    floors = F.array(*(F.lit(x[1]) for x in FEATURES))
-    scale = F.sqrt(F.pow(F.col("_off") * 1.4826, 2) + F.pow(F.get(floors, F.col("_f")), 2))
-    first = spread.groupBy("_g").agg(F.sort_array(F.collect_list(F.struct("_f", "_mid", scale.alias("_scale")))).alias("_a"))
-    zero = lambda i, j: F.lit(0.0) if i != j else F.col("_a")[i]["_scale"]
-    groups = cut(first.select("_g", F.transform("_a", lambda a: a["_mid"]).alias("_m"), F.array(*(F.array(*(zero(i, j) for j in range(i + 1))) for i in range(D))).alias("_c")))
+            own = own - F.col("c")[i][j] * F.col(f"y{j}")
+        out = out.withColumn(f"y{i}", own / F.col("c")[i][i])
+    total = sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(1, D)), F.col("y0") * F.col("y0"))
+    return out.withColumn("d", total).drop("m", "c", *(f"y{i}" for i in range(D)))
+
+
+def _binned(rows: DataFrame) -> DataFrame:
+    return _distance(rows).withColumn("b", F.floor(BINS_PER_OCTAVE * F.greatest(F.log2(F.col("d") + 1e-12), F.lit(LOWEST))).cast("int"))
+
+
+def _share(value: str, share: float) -> Column:
+    """The smallest value with at least ``share`` of the group's rows at or below it."""
+    return F.expr(f"percentile_disc({share}) within group (order by {value})")
+
+
+def estimates(rows: DataFrame, support: float = 0.75, steps: int = 3) -> DataFrame:
+    """Moments n, s, p of the subset of least determinant for each group ``g`` of the vectors ``x``."""
+    wide = rows.select("g", *(F.col("x")[i].alias(f"x{i}") for i in range(D)))
+    middle = cut(wide.groupBy("g").agg(F.array(*(_share(f"x{i}", 0.5) for i in range(D))).alias("m")))
+    off = rows.join(middle, "g").select("g", "m", *(F.abs(F.col("x")[i] - F.col("m")[i]).alias(f"x{i}") for i in range(D)))
+    scale = lambda i: F.sqrt(F.pow(_share(f"x{i}", 0.5) * 1.4826, 2) + FEATURES[i][1] ** 2)
+    spread = off.groupBy("g").agg(F.first("m").alias("m"), F.array(*(scale(i) for i in range(D))).alias("sd"))
+    diagonal = F.array(*(F.array(*(F.col("sd")[i] if i == j else F.lit(0.0) for j in range(i + 1))) for i in range(D)))
+    first = cut(spread.select("g", "m", diagonal.alias("c")))
+    near = _binned(rows.join(first, "g")).select("g", "x", "b")
+    half = cut(near.groupBy("g").agg(_share("b", 0.5).alias("last")))
+    begun = near.join(half, "g").select("g", "x", F.explode(F.when(F.col("b") <= F.col("last"), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(2)))).alias("k"))
+    groups = _cholesky(cut(_moments(begun, "g", "k"))).select("g", "k", "m", "c").unionByName(first.withColumn("k", F.lit(0)))
     for _ in range(steps):
-        bins = _distance(rows, groups, "_d").withColumn("_b", F.floor(BINS_PER_OCTAVE * F.greatest(F.log2(F.col("_d") + 1e-12), F.lit(LOWEST))))
-        last = _low(["_g"], bins, "_b", F.lit(support)).withColumnRenamed("_b", "_last")
-        groups = cut(_cholesky(_moments(_join(bins, last).where(F.col("_b") <= F.col("_last")))))
-    return groups
-
-
-def judge(stats: DataFrame, lang: str = "lang", source: str = "source", cutoff: float = 60.0, short: float = 60.0, min_group: int = 50, support: float = 0.75, steps: int = 4) -> DataFrame:
-    """Rows with a column ``_stats`` of text_stats(); returned with ``_judged`` in its place: the counts, distance, base_failed and kept."""
-    kept = [c for c in stats.columns if c != "_stats"]
-    rows = cut(stats.select(*kept, "_stats", _vector(F.col("_stats")).alias("_x"), F.struct(F.col(lang).cast("string").alias("l"), F.col(source).cast("string").alias("s")).alias("_o")))
-    n = F.col("_stats")["w"]["n_words"]
-    failed = (n < 10) | (100 * F.col("_stats")["w"]["n_repeat_words"] > 20 * n)
-    sizes = rows.where(~failed).groupBy("_o").agg(F.count(F.lit(1)).alias("_size"))
-    pooled = sizes.select("_o", F.struct(F.col("_o")["l"].alias("l"), F.when(F.col("_size") >= min_group, F.col("_o")["s"]).alias("s"), (F.col("_size") < min_group).alias("pool")).alias("_g"), "_size")
-    total = pooled.groupBy("_g").agg(F.sum("_size").alias("_total"))
-    groups = cut(_join(pooled, total).where(F.col("_total") >= min_group).select(F.col("_o").alias("_oo"), "_g"))
-    placed = rows.join(groups, rows["_o"].eqNullSafe(groups["_oo"]), "left").drop("_oo")
-    found = estimates(placed.where(F.col("_g").isNotNull() & ~failed).select("_g", "_x"), support, steps)
-    d = F.col("_d") * n / (n + short)
-    scored = _distance(placed, found, "_d").withColumn("_judged", F.struct(
-        n.alias("n_words"), *(F.col("_stats")["w"][c].alias(c) for c in ("word_chars", "n_symbols", "n_repeat_words")), F.col("_stats")["l"]["n_dup_lines"].alias("n_dup_lines"),
-        d.alias("distance"), failed.alias("base_failed"), (~failed & F.coalesce(d <= cutoff, F.lit(True))).alias("kept"),
-    ))
-    return scored.select(*kept, "_judged")
+        bins = cut(_binned(rows.join(cut(groups), "g")).select("g", "k", "x", "b"))
+        last = cut(bins.groupBy("g", "k").agg(_share("b", support).alias("last")))
+        found = _cholesky(cut(_moments(bins.join(last, ["g", "k"]).where("b <= last"), "g", "k")))
+        groups = found.select("g", "k", "m", "c")
+        discard(bins)
+    best = F.min(F.struct(F.round("z", 9).alias("z"), "k", "n", "s", "p")).alias("b")
+    return found.groupBy("g").agg(best).select("g", "b.n", "b.s", "b.p")
+
+
+def _added(table: DataFrame, by: list[str]) -> DataFrame:
+    """Sums of the moments."""
+    parts = [("s", D), ("p", D * (D + 1) // 2)]
+    return table.groupBy(*by).agg(F.sum("n").alias("n"), *(F.array(*(F.sum(F.col(c)[i]) for i in range(size))).alias(c) for c, size in parts))
+
+
+def _leaning(own: DataFrame, around: DataFrame, by: list[str], prior: float) -> DataFrame:
+    """The moments with ``prior`` more rows that look like ``around``."""
+    a = around.select(*by, *(F.col(c).alias(f"{c}a") for c in "nsp"))
+    joined = own.join(a, by) if by else own.crossJoin(a)  # without ``by``, around is one row
+    more = lambda c: F.transform(F.arrays_zip(F.col(c).alias("u"), F.col(f"{c}a").alias("v")), lambda e: e["u"] + prior * e["v"] / F.col("na"))
+    return joined.select(*(c for c in own.columns if c not in "nsp"), (F.col("n") + prior).alias("n"), more("s").alias("s"), more("p").alias("p"))
+
+
+def judge(docs: DataFrame, keep: list[str] | None = None, lang: str = "lang", source: str = "source", text: str = "text", support: float = 0.75, steps: int = 3, prior: float = 50.0, sure: float = 0.9999) -> DataFrame:
+    """row, a struct of the columns ``keep`` (all by default), and judged, a struct of the counts, distance, base_failed and kept, of every document."""
+    l, s = F.col(lang).cast("string").alias("l"), F.col(source).cast("string").alias("s")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep or docs.columns)).alias("row"), text_stats(F.col(text)).alias("stats"), F.to_json(F.struct(l)).alias("l"), F.to_json(F.struct(l, s)).alias("g"))
+    n = F.col("stats")["w"]["n_words"]
+    failed = (n < 10) | (100 * F.col("stats")["w"]["n_repeat_words"] > 20 * n)
+    rows = cut(rows.select("*", _vector(F.col("stats")).alias("x"), failed.alias("failed")))
+    groups = cut(estimates(rows.where(~F.col("failed")).select("g", "x"), support, steps).join(rows.select("l", "g").distinct(), "g"))
+    languages = _added(groups, ["l"])
+    found = _leaning(groups, _leaning(languages, _added(groups, []), [], prior), ["l"], prior)
+    found = cut(_cholesky(found, consistency(support)).select("g", "m", "c"))
+    units = {"words": n, "chars": F.col("stats")["w"]["word_chars"], "lines": F.col("stats")["l"]["n_lines"]}
+    variance = lambda i: sum((F.col("c")[i][j] * F.col("c")[i][j] for j in range(1, i + 1)), F.col("c")[i][0] * F.col("c")[i][0])
+    shrink = [1 / F.sqrt(1 + F.lit(noise) / (F.greatest(units[unit], F.lit(1)) * variance(i))) for i, (_, _, noise, unit) in enumerate(FEATURES)]
+    scored = _distance(rows.join(found, "g", "left"), shrink).select("row", "stats", "failed", F.when(~F.col("failed"), F.col("d")).alias("d"))
+    return scored.select("row", F.struct(
+        n.alias("n_words"), *(F.col("stats")["w"][c].alias(c) for c in ("word_chars", "n_symbols", "n_repeat_words")), F.col("stats")["l"]["n_dup_lines"].alias("n_dup_lines"),
+        F.col("d").alias("distance"), F.col("failed").alias("base_failed"), (~F.col("failed") & F.coalesce(F.col("d") <= chi_squared_quantile(sure, D), F.lit(True))).alias("kept"),
+    ).alias("judged"))
 
 
 def quality_rows(docs: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed, kept and the distance of every document."""
-    j = F.col("_judged")
-    judged = judge(docs.select("doc_id", "lang", "source", text_stats(F.col("text")).alias("_stats")))
-    return judged.select("doc_id", *(j[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+    return judge(docs, ["doc_id"]).select("row.doc_id", *(F.col(f"judged.{c}") for c in names))
+
+
+def clean(docs: DataFrame) -> DataFrame:
+    """The documents that are kept."""
+    return judge(docs).where("judged.kept").select("row.*")

@@ -165,15 +165,82 @@ def test_quality_rejects_outliers_only(spark):
     assert all(got[i] for i in range(400)) and not any(v for i, v in got.items() if i >= 1000)
 
 
-def test_mahalanobis_equals_numpy(spark):
-    rng = np.random.default_rng(3)
-    x = np.round(rng.multivariate_normal(np.zeros(quality.D), np.eye(quality.D) + 0.3, 500) * 4096) / 4096
-    rows = spark.createDataFrame([("g", list(map(float, v))) for v in x], "_g string, _x array<double>")
-    found = quality._cholesky(quality._moments(rows))
-    got = np.array([r[0] for r in quality._distance(rows, found, "_d").select("_d").collect()])
-    cov = np.cov(x.T, bias=True) + np.diag([f**2 for _, f in quality.FEATURES])
-    d = x - x.mean(axis=0)
-    assert np.allclose(np.sort(got), np.sort(np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d)), rtol=1e-6)
+def test_chi_squared():
+    assert abs(quality.chi_squared_quantile(0.95, 5) - 11.0705) < 1e-3 and abs(quality.chi_squared_quantile(0.9999, 5) - 25.7448) < 1e-3
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(200_000, quality.D))
+    d = (x**2).sum(axis=1)
+    near = x[d <= np.quantile(d, 0.75)]
+    assert abs(quality.consistency(0.75) * near.var() - 1) < 0.02
+
+
+def brute_mcd(rows, support=0.75, steps=3, prior=50.0):
+    """rows: (lang, source, vector, units); each one's squared distance."""
+    floor = np.diag([f[1] ** 2 for f in quality.FEATURES])
+    x, units = np.array([r[2] for r in rows]), np.array([r[3] for r in rows], float)
+    binned = lambda d: np.floor(256 * np.maximum(np.log2(d + 1e-12), -20))
+    distance = lambda y, m, c: np.einsum("ij,jk,ik->i", y - m, np.linalg.inv(c), y - m)
+    disc = lambda v, q: np.sort(v)[math.ceil(q * len(v) - 1e-12) - 1]
+    estimate = lambda y: (y.mean(axis=0), np.cov(y.T, bias=True) + floor)
+    sums, by = {}, defaultdict(list)
+    for i, r in enumerate(rows):
+        by[r[0], r[1]].append(i)
+    for g, own in by.items():
+        y = x[own]
+        mid = np.array([disc(v, 0.5) for v in y.T])
+        mad = np.array([disc(abs(v - m), 0.5) for v, m in zip(y.T, mid, strict=True)]) * 1.4826
+        starts = [(mid, np.diag(mad**2) + floor)]
+        b = binned(distance(y, *starts[0]))
+        starts += [estimate(y[b <= disc(b, 0.5)]), estimate(y)]
+        best = None
+        for m, c in starts:
+            for _ in range(steps):
+                b = binned(distance(y, m, c))
+                kept = y[b <= disc(b, support)]
+                m, c = estimate(kept)
+            z = round(float(np.linalg.slogdet(c)[1]) / 2, 9)
+            if best is None or z < best[0]:
+                best = (z, np.array([len(kept)]), kept.sum(axis=0), kept.T @ kept)
+        sums[g] = best[1:]
+    total = lambda some: [sum(p) for p in zip(*some, strict=True)]
+    lean = lambda a, b: [a[0] + prior, a[1] + prior * b[1] / b[0], a[2] + prior * b[2] / b[0]]
+    every, out = total(sums.values()), np.empty(len(rows))
+    for g, own in by.items():
+        n, s, p = lean(sums[g], lean(total([v for k, v in sums.items() if k[0] == g[0]]), every))
+        m = s / n
+        c = quality.consistency(support) * (p / n - np.outer(m, m)) + floor
+        shrink = 1 / np.sqrt(1 + np.array([f[2] for f in quality.FEATURES]) / (np.maximum(units[own], 1) * np.diag(c)))
+        out[own] = np.einsum("ij,jk,ik->i", (x[own] - m) * shrink, np.linalg.inv(c), (x[own] - m) * shrink)
+    return out
+
+
+def test_quality_equals_brute_force(spark):
+    """Groups of 3 to 200 documents, some of them of other statistics."""
+    rng = random.Random(11)
+    rows = []
+    for lang, source, size in (("en", "a", 200), ("en", None, 40), (None, "b", 60), ("de", "c", 3), ("de", "d", 12)):
+        for _ in range(size):
+            words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))).capitalize() if rng.random() < 0.1 else "".join(rng.choice("ijkl") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(12, 150))]
+            if rng.random() < 0.08:
+                words = [w + rng.choice(["", "#", "|||"]) for w in words]
+            lines = [" ".join(words[i : i + 9]) for i in range(0, len(words), 9)]
+            lines += lines[:1] * rng.choice([0, 0, 0, 0, 0, 1])
+            rows.append((len(rows), "\n".join(lines), lang, source))
+    got = {r["doc_id"]: r for r in quality.quality_rows(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").repartition(5)).collect()}
+    vectors, ids = [], []
+    for i, t, lang, source in rows:
+        n, chars, symbols, dup, repeats = brute_stats(t)
+        if got[i]["base_failed"]:
+            continue
+        lines, caps = t.count("\n") + 1, sum("A" <= c <= "Z" for c in t)
+        v = [math.log(chars / n), *(math.sqrt(a / b) for a, b in ((symbols, chars), (repeats, n), (dup, lines), (caps, chars)))]
+        unit = {"words": n, "chars": chars, "lines": lines}
+        vectors.append((lang, source, [math.floor(4096 * u + 0.5) / 4096 for u in v], [unit[f[3]] for f in quality.FEATURES]))
+        ids.append(i)
+    want = brute_mcd(vectors)
+    assert len(ids) > 250 and np.allclose([got[i]["distance"] for i in ids], want, rtol=1e-6, atol=1e-9)
+    limit = quality.chi_squared_quantile(0.9999, quality.D)
+    assert [got[i]["kept"] for i in ids] == (want <= limit).tolist() and 5 < (want > limit).sum() < 60
 
 
 def test_toxicity_learns_pairs(spark):
