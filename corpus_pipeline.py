@@ -23,8 +23,7 @@ from millrace.plans.staging import cut
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or are outliers of their language and source go."""
-    judged = quality.judge(docs.select("*", quality.text_stats(F.col("text")).alias("_stats")))
-    return judged.where(F.col("_judged")["kept"]).select(*docs.columns)
+    return quality.clean(docs)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
