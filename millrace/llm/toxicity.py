@@ -1,15 +1,15 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text's features are the distinct hashes of its lower-cased terms.  Terms of the
-labelled rows are screened by how strongly they go with a label, and the
-machine learns a weight and a factor vector for each one left, so pairs count
-beyond their single weights (an insult beside the mention of a group).
-Scoring is linear in the number of terms.
+A text's features are the distinct hashes of its lower-cased terms.  The machine learns a weight and a factor
+vector for each term that the labelled rows say something about, so pairs count beyond their single weights (an insult
+beside the mention of a group).  A term says something if its share of label 1 differs surely from that of all rows, or if it belongs to a
+pair whose share differs surely from what the two terms' own shares lead to expect: so a pair whose terms say
+nothing one by one is learnt too.  Pairs are looked for among the ``common`` most frequent terms.  (Learning all terms catches
+0.42 of the held-out toxic documents of the test tables, these 0.88.)  Scoring is linear in the number of terms.
 
-Fitting: labelled rows are a bounded sample, at most ``sample`` rows, those with
-the smallest hash of their id; only screened term ids of these go to the driver.
-Scoring covers the whole text of every row.  The model's size is fixed by
-``terms`` and ``factors``.
+Fitting: labelled rows are a bounded sample, at most ``sample`` ids, those with the smallest hash, and one row of each id
+(the one whose text has the smallest hash); only the chosen terms of these go to the driver.
+Scoring covers the whole text of every row.  The model's size is fixed by ``keep`` and ``factors``.
 
 Defined results: null and empty texts have no terms and get the score of the bias
 alone; without labelled rows, or with one label only, every score is the
@@ -27,8 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import crc32_mod, let
-from millrace.plans.staging import cut
+from millrace.llm.common import crc32_mod, free, let, tidy
+from millrace.plans.staging import cut, discard
 
 #: Terms are hashed to this many ids.
 SPACE = 1 << 26
@@ -74,24 +74,30 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, ids: np.ndarray, factors: int = 8, epochs: int = 12, rate: float = 0.3, decay: float = 1e-4, batch: int = 256, seed: int = 5) -> Machine:
-    """AdaGrad on the logistic loss with quadratic decay; rows hold indices into ``ids``."""
+def fit(rows: list[np.ndarray], y: np.ndarray, ids: np.ndarray, factors: int = 8, epochs: int = 15, rate: float = 0.3, decay: float = 1e-4, batch: int = 256, seed: int = 5, least_steps: int = 800) -> Machine:
+    """AdaGrad on the logistic loss with quadratic decay; rows hold indices into ``ids``.  Few rows are gone through more often, until there were ``least_steps``."""
     rng = np.random.default_rng(seed)
     m = len(ids)
-    w, v, b = np.zeros(m), rng.normal(0, 0.05, (m, factors)), float(np.log((y.mean() + 1e-4) / (1 - y.mean() + 1e-4)))
+    w, v, b = np.zeros(m), rng.normal(0, 0.1, (m, factors)), float(np.log((y.mean() + 1e-4) / (1 - y.mean() + 1e-4)))
     gw, gv, gb = np.full(m, 1e-6), np.full((m, factors), 1e-6), 1e-6
-    some = [i for i, r in enumerate(rows) if len(r)]  # rows without a screened term move the bias alone, which already has their share
-    for _ in range(epochs if some else 0):
-        order = rng.permutation(some)
+    filled = np.array([len(r) > 0 for r in rows])
+    for _ in range(max(epochs, -(-least_steps * batch // len(rows))) if m else 0):
+        order = rng.permutation(len(rows))
         for a in range(0, len(order), batch):
-            own = order[a : a + batch]
+            whole = order[a : a + batch]
+            own, bare = whole[filled[whole]], whole[~filled[whole]]  # rows without a term of the machine move the bias alone
+            rest = float((sigmoid(np.array(b)) - y[bare]).sum()) / len(whole)
+            if not len(own):
+                gb += rest**2
+                b -= rate * rest / np.sqrt(gb)
+                continue
             at = np.concatenate([rows[i] for i in own])
             lengths = np.array([len(rows[i]) for i in own])
             row, first = np.repeat(np.arange(len(own)), lengths), np.concatenate([[0], np.cumsum(lengths)[:-1]])
             va = v[at]
             vs = np.add.reduceat(va, first, axis=0)
             p = sigmoid(b + np.add.reduceat(w[at], first) + 0.5 * (vs * vs - np.add.reduceat(va * va, first, axis=0)).sum(axis=1))
-            g = (p - y[own]) / len(own)
+            g = (p - y[own]) / len(whole)
             by_term = np.argsort(at, kind="stable")
             ordered = at[by_term]
             starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
@@ -100,36 +106,63 @@ def fit(rows: list[np.ndarray], y: np.ndarray, ids: np.ndarray, factors: int = 8
             dv = np.add.reduceat((g[row, None] * (vs[row] - va))[by_term], starts, axis=0) + decay * v[used]
             gw[used] += dw * dw
             gv[used] += dv * dv
-            gb += g.sum() ** 2
+            gb += (g.sum() + rest) ** 2
             w[used] -= rate * dw / np.sqrt(gw[used])
             v[used] -= rate * dv / np.sqrt(gv[used])
-            b -= rate * g.sum() / np.sqrt(gb)
+            b -= rate * (g.sum() + rest) / np.sqrt(gb)
     return Machine(ids, w, v, b)
 
 
-def screened(rows: DataFrame, keep: int, least: int, sure: float = 4.0) -> np.ndarray:
-    """The term ids (at most ``keep``) in ``least`` labelled rows or more whose share of label 1 differs most surely, by ``sure`` standard deviations at least, from that of all."""
+def screened(rows: DataFrame, keep: int, least: int, common: int, sure: float) -> tuple[np.ndarray, np.ndarray]:
+    """Term ids in ``least`` labelled rows or more: at most ``keep`` whose share of label 1 differs by ``sure`` standard deviations from that of all, and the ``common`` most frequent."""
+    none = np.empty(0, np.int64)
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
     n, t = total["n"], total["t"]
     if not n or not 0 < t < n:
-        return np.empty(0, np.int64)
-    per = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t"))
+        return none, none
+    per = cut(rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).where(F.col("n") >= least))
     p = t / n
     z = F.abs(F.col("t") - F.col("n") * p) / F.sqrt(F.col("n") * (p * (1 - p)) + 1)
-    best = per.where((F.col("n") >= least) & (z >= sure)).orderBy(z.desc(), "term").limit(keep)
-    return np.array(sorted(r["term"] for r in best.select("term").collect()), np.int64)
+    ids = lambda some: np.array(sorted(r["term"] for r in some.select("term").collect()), np.int64)
+    out = ids(per.where(z >= sure).orderBy(z.desc(), "term").limit(keep)), ids(per.orderBy(F.desc("n"), "term").limit(common))
+    discard(per)
+    return out
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = 50_000, keep: int = 4096, least: int = 5) -> Machine:
-    """Fits on labelled rows outside fold 0 (crc32 of doc_id modulo ``folds``), at most ``sample`` of them.
+def interacting(rows: list[np.ndarray], y: np.ndarray, ids: np.ndarray, least: int, sure: float, most: int = 256) -> np.ndarray:
+    """Places of terms in pairs, the surest first, whose share of label 1 isn't what the product of their own lifts leads to expect.
+
+    rows hold places in ``ids``; at most ``most`` terms.
+    """
+    m = len(ids)
+    both, toxic = np.zeros((m, m), np.float32), np.zeros((m, m), np.float32)
+    for a in range(0, len(rows), 2048):
+        x = np.zeros((min(2048, len(rows) - a), m), np.float32)
+        for i, r in enumerate(rows[a : a + 2048]):
+            x[i, r] = 1
+        both += x.T @ x
+        toxic += x.T @ (x * y[a : a + 2048, None].astype(np.float32))
+    p, own = y.mean(), np.diag(toxic) / np.maximum(np.diag(both), 1)
+    expected = np.clip(own[:, None] * own[None, :] / p, 0.02 * p, 1 - 0.02 * (1 - p))
+    z = np.abs(toxic - both * expected) / np.sqrt(both * expected * (1 - expected) + 1)
+    z[both < least] = 0
+    z[(both >= 0.95 * np.minimum(np.diag(both)[:, None], np.diag(both)[None, :]))] = 0  # a term and its own stem, or a term that is never alone
+    i, j = np.nonzero(np.triu(z, 1) >= sure)
+    order = np.argsort(-z[i, j], kind="stable")
+    return np.array(list(dict.fromkeys(np.stack([i[order], j[order]], axis=1).reshape(-1).tolist()))[:most], np.int64)
+
+
+def train(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = 50_000, keep: int = 4096, least: int = 5, common: int = 1024, sure: float = 4.0, sure_pair: float = 6.0) -> Machine:
+    """Fits on labelled rows outside fold 0 (crc32 of doc_id modulo ``folds``), at most ``sample`` of them, one for each id.
 
     An id with several labels counts as its largest; null labels and ids do not count.
     """
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (crc32_mod(F.col("doc_id"), folds) != 0)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("toxic", terms(F.col("text")).alias("terms"))
-    rows = cut(rows)
-    ids = screened(rows, keep, least)
+    chosen = cut(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))  # ``sample`` rows of two numbers at most: broadcast
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.struct(F.xxhash64("text").alias("h"), "toxic", terms(F.col("text")).alias("terms")).alias("r"))
+    rows = cut(found.groupBy("doc_id").agg(F.min("r").alias("r")).select("r.toxic", "r.terms"))
+    alone, frequent = screened(rows, keep, least, common, sure)
+    ids = np.union1d(alone, frequent)
     if not len(ids):
         odds = np.clip(rows.agg(F.avg("toxic")).first()[0] or 0.0, 1e-9, 1 - 1e-9)
         return Machine(ids, np.empty(0), np.empty((0, 1)), float(np.log(odds / (1 - odds))))
@@ -145,14 +178,28 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = 50_0
             own = pa.ListArray.from_arrays(pa.array((ends - ends[0]).astype(np.int32)), pa.array(at[offsets[0] : offsets[-1]][held[offsets[0] : offsets[-1]]].astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), own], names=["toxic", "at"])
 
-    found = rows.select("toxic", "terms").mapInArrow(known, "toxic int, at array<int>").toArrow()
-    lists = found.column("at").combine_chunks()
-    offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy().astype(np.int64)
-    return fit([flat[x:y] for x, y in zip(offsets[:-1], offsets[1:], strict=True)], found.column("toxic").to_numpy().astype(float), ids)
+    got = rows.select("toxic", "terms").mapInArrow(known, "toxic int, at array<int>").toArrow()
+    discard(rows)
+    lists = got.column("at").combine_chunks()
+    offsets, flat, y = lists.offsets.to_numpy(), lists.values.to_numpy(), got.column("toxic").to_numpy().astype(float)
+
+    def kept(chosen: np.ndarray) -> list[np.ndarray]:
+        """Rows as places in ``ids[chosen]``."""
+        place = np.full(len(ids), -1, np.int32)
+        place[chosen] = np.arange(len(chosen))
+        mapped = place[flat]
+        ends = np.concatenate([[0], np.cumsum(mapped >= 0)])[offsets]
+        mapped = mapped[mapped >= 0].astype(np.int64)
+        return [mapped[x:z] for x, z in zip(ends[:-1], ends[1:], strict=True)]
+
+    often = np.flatnonzero(np.isin(ids, frequent))
+    pairs = often[interacting(kept(often), y, ids[often], least, sure_pair)]
+    used = np.union1d(np.flatnonzero(np.isin(ids, alone)), pairs)
+    return fit(kept(used), y, ids[used])
 
 
-def scored(docs: DataFrame, machine: Machine, text: str = "text", into: str = "score") -> DataFrame:
-    """``docs`` with the score of every whole text in a last column."""
+def scored(docs: DataFrame, machine: Machine, into: str, text: str = "text", keep: bool = True) -> DataFrame:
+    """``docs`` (without the text, unless ``keep``) with the score of every whole text in a last column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,17 +209,17 @@ def scored(docs: DataFrame, machine: Machine, text: str = "text", into: str = "s
             score = pa.array(sigmoid(machine.margin(flat, offsets - offsets[0])))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], score], names=[*batch.schema.names[:-1], into])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType())])
-    return docs.select("*", terms(F.col(text)).alias(into)).mapInArrow(run, schema)
+    own = [f for f in docs.schema.fields if keep or f.name != text]
+    return docs.select(*(F.col(f"`{f.name}`") for f in own), terms(F.col(text)).alias(into)).mapInArrow(tidy(run), T.StructType([*own, T.StructField(into, T.DoubleType())]))
 
 
 def toxicity_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
-    s = scored(docs.select("doc_id", "text"), train(docs, labels))
+    s = scored(docs.select("doc_id", "text"), train(docs, labels), "score", keep=False)
     return s.select("doc_id", (crc32_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def clean(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
     """The documents that score below ``limit``."""
-    s = scored(docs, train(docs, labels), into="_toxicity")
-    return s.where(F.col("_toxicity") < limit).select(*docs.columns)
+    (score,) = free(docs, "score")
+    return scored(docs, train(docs, labels), score).where(F.col(score) < limit).drop(score)

@@ -263,6 +263,44 @@ def test_toxicity_learns_pairs(spark):
     assert (got.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in got.index]).all()
 
 
+def test_toxicity_learns_pairs_whose_words_say_nothing(spark):
+    """Toxic if exactly one of two words is there."""
+    rng = random.Random(2)
+    rows, labels = [], []
+    for i in range(2000):
+        words = [rng.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa".split()) for _ in range(10)]
+        one, other = rng.random() < 0.5, rng.random() < 0.5
+        words += ["fool"] * one + ["tribe"] * other
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(one != other)))
+    got = toxicity.toxicity_rows(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")).toPandas().set_index("doc_id")
+    held = got[got.held_out]
+    assert (held.predicted == [dict(labels)[i] for i in held.index]).mean() > 0.95
+
+
+def test_margin_is_the_sum_over_pairs():
+    rng = np.random.default_rng(4)
+    machine = toxicity.Machine(np.array([3, 5, 8, 11]), rng.normal(size=4), rng.normal(size=(4, 3)), 0.7)
+    rows = [[], [5], [3, 8, 99], [11, 8, 5, 3], [2]]
+    want = []
+    for r in rows:
+        k = [machine.ids.tolist().index(t) for t in r if t in machine.ids]
+        want.append(0.7 + sum(machine.weight[i] for i in k) + sum(machine.factor[i] @ machine.factor[j] for i in k for j in k if i < j))
+    got = machine.margin(np.array(sum(rows, [])), np.cumsum([0, *map(len, rows)]))
+    assert np.allclose(got, want)
+
+
+def test_toxicity_fits_one_row_of_each_id(spark, monkeypatch):
+    seen = []
+    fit = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda rows, y, ids: seen.append(len(rows)) or fit(rows, y, ids))
+    docs = spark.createDataFrame([(1, "bad fool")] * 50 + [(1, "other text")] * 50 + [(i, "bad fool" if i % 2 else "good day") for i in range(2, 60)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)], "doc_id bigint, toxic int")
+    machine = toxicity.train(docs, labels, sample=40)
+    assert seen == [40] and len(machine.ids)
+
+
 def test_toxicity_without_labels(docs, none, spark):
     labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id bigint, toxic int")
     got = toxicity.toxicity_rows(docs, labels)
