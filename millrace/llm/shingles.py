@@ -1,17 +1,8 @@
-"""Near duplicates by the exact Jaccard similarity of shingle sets.
-
-1. A document becomes the set of its shingles' hashes.  Equal sets are one class.
-2. In one order of all shingles, two sets of similarity t or more share a shingle among the first
-   n - ceil(t * n) + 1 of each, so these are a class's keys: no pair is lost.  Any order gives
-   that; shingles of crowded counters come last, so that common passages make few candidates.
-3. Classes that share a key are candidates if their sizes, and the shared key's places, allow
-   the similarity.  Each candidate is confirmed by the exact similarity of the two sets.
-   First every class meets the smallest class of each of its keys; then those that
-   aren't connected by now meet in pairs.
-4. Connected components of the confirmed pairs.
-
-Defined results: null or blank texts have the empty set and are copies of each other; rows with a null id all
-stay; of rows with the same id one stays.
+"""Sets of shingles: fingerprints, classes of equal sets, keys that similar sets share, exact similarity.
+
+Keys: in one order of all shingles, two sets of Jaccard similarity t or more share a shingle among the first
+n - ceil(t * n) + 1 of each.  Any order gives that; shingles of crowded counters come last, so that common passages
+make few candidates.  Keys that the same classes share are one.
 """
 
 from __future__ import annotations
@@ -23,14 +14,15 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.components import components
+from millrace.llm.common import tidy
 from millrace.plans.staging import cut, discard
 
 #: Counters of shingles, by the top bits of the hash.
 COUNTERS = 18
+_MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -42,6 +34,21 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), map(b" ".join, runs)), np.uint64)
 
 
+def majority(h: np.ndarray, words: int) -> np.ndarray:
+    """The fingerprint as ``words`` 64-bit words; further words come from remixed hashes."""
+    out = np.zeros(words, np.uint64)
+    if not len(h):
+        return out
+    for k in range(words):
+        x = h if k == 0 else (h ^ (h >> np.uint64(31))) * np.uint64(_MIX[k % 4] + 2 * k)
+        x = x if k == 0 else x ^ (x >> np.uint64(29))
+        counts = np.zeros(64, np.int64)
+        for a in range(0, len(x), 1 << 16):
+            counts += np.unpackbits(x[a : a + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[k] = np.packbits(2 * counts > len(x), bitorder="little").view(np.uint64)[0]
+    return out
+
+
 def _set(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, shingle))
 
@@ -54,32 +61,33 @@ def _counter(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - COUNTERS)).astype(np.int64)
 
 
-def classed(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, c (class), n (size of the set) of every row, as written; and rows with ``counts`` alone, one for each task."""
+def classed(docs: DataFrame, shingle: int, words: int) -> DataFrame:
+    """doc_id, c (class), n (size of the set), f (fingerprint of 64 * ``words`` bits) of every row, as written; and rows with ``counts`` alone, one for each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << COUNTERS, np.int32)
         for batch in batches:
-            c, n = [], []
+            c, n, f = [], [], []
             for text in batch.column(1):
                 h = _set(text.as_py(), shingle)
                 np.add.at(counts, _counter(h), 1)
                 c.append(_class(h))
                 n.append(len(h))
+                f.append(majority(h, words).view(np.int64))
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(c, pa.int64()), pa.array(n, pa.int32()), pa.nulls(len(c), pa.list_(pa.int32())),
-            ], names=["doc_id", "c", "n", "counts"])
+                batch.column(0), pa.array(c, pa.int64()), pa.array(n, pa.int32()), pa.array(f, pa.list_(pa.int64())), pa.nulls(len(c), pa.list_(pa.int32())),
+            ], names=["doc_id", "c", "n", "f", "counts"])
         if counts.any():
             yield pa.RecordBatch.from_arrays([
-                pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([counts], pa.list_(pa.int32())),
-            ], names=["doc_id", "c", "n", "counts"])
+                pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())),
+            ], names=["doc_id", "c", "n", "f", "counts"])
 
     kind = dict(docs.dtypes)["doc_id"]
     id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    return cut(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, c bigint, n int, counts array<int>"))
+    return cut(docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, c bigint, n int, f array<bigint>, counts array<int>"))
 
 
-def _crowded(rows: DataFrame) -> np.ndarray:
+def crowded(rows: DataFrame) -> np.ndarray:
     """For each counter 0, or how far it is beyond the others; only the order of keys depends on it."""
 
     def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # explode copies the array for each of its elements
@@ -97,28 +105,35 @@ def _crowded(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def keys(docs: DataFrame, shingle: int, similarity: float, crowded: np.ndarray) -> DataFrame:
-    """key, c, n, place: the first shingles of each text's set."""
-    shared = docs.sparkSession.sparkContext.broadcast(crowded)
+def keys(docs: DataFrame, shingle: int, similarity: float, late: np.ndarray) -> DataFrame:
+    """key, c: the first shingles of each text's set, those of crowded counters (``late``) last."""
+    shared = docs.sparkSession.sparkContext.broadcast(late)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
-                key, c, n, place = [np.zeros(0, np.uint64)], [], [], [np.zeros(0, np.int64)]
+                key, c = [np.zeros(0, np.uint64)], []
                 for text in batch.column(0).slice(a, 512):
                     h = _set(text.as_py(), shingle)
                     first = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1 if len(h) else 0
                     key.append(h[np.argsort(shared.value[_counter(h)], kind="stable")[:first]])
-                    place.append(np.arange(first))
                     c.append(_class(h))
-                    n.append(len(h))
-                times = [len(k) for k in key[1:]]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate(key).view(np.int64)), pa.array(np.repeat(np.array(c, np.int64), times)),
-                    pa.array(np.repeat(np.array(n, np.int32), times)), pa.array(np.concatenate(place).astype(np.int32)),
-                ], names=["key", "c", "n", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), pa.array(np.repeat(np.array(c, np.int64), [len(k) for k in key[1:]]))], names=["key", "c"])
+
+    return docs.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(tidy(run), "key bigint, c bigint")
+
 
-    return docs.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(run, "key bigint, c bigint, n int, place int")
+def shared_keys(docs: DataFrame, classes: DataFrame, shingle: int, similarity: float, late: np.ndarray) -> DataFrame:
+    """key, id (class), n, f: the keys that several classes have, one of those that the same classes have; as written."""
+    every = cut(keys(docs, shingle, similarity, late))
+    sums = every.groupBy("key").agg(
+        F.count(F.lit(1)).alias("k"), F.min("c").alias("low"), F.max("c").alias("high"), F.bit_xor(F.xxhash64("c")).alias("x"), F.sum(F.pmod(F.xxhash64("c", F.lit(7)), F.lit(1 << 32))).alias("s"))
+    kept = cut(sums.where("low < high").groupBy("k", "low", "high", "x", "s").agg(F.min("key").alias("key")).select("key"))
+    rows = every.join(kept, "key").distinct().join(classes.select("c", "n", "f"), "c").select("key", F.col("c").alias("id"), "n", "f")
+    rows = cut(rows)
+    discard(every)
+    discard(kept)
+    return rows
 
 
 def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -131,59 +146,9 @@ def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: in
                 yield pa.RecordBatch.from_arrays([pa.array([_class(h) for h in sets], pa.int64()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], names=["c", "h"])
 
     used = pairs.select(F.explode(F.array("u", "v")).alias("c")).distinct().join(classes, "c").select(F.col("id").alias("_d")).distinct()
-    sets = cut(docs.join(used, F.col("doc_id") == F.col("_d"), "left_semi").select("text").mapInArrow(run, "c bigint, h array<bigint>").dropDuplicates(["c"]))
+    sets = cut(docs.select("doc_id", "text").join(used, F.col("doc_id") == F.col("_d"), "left_semi").select("text").mapInArrow(tidy(run), "c bigint, h array<bigint>").dropDuplicates(["c"]))
     both = pairs.join(sets.select(F.col("c").alias("u"), F.col("h").alias("x")), "u").join(sets.select(F.col("c").alias("v"), F.col("h").alias("y")), "v")
     inter = both.select("u", "v", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("s"))
     out = cut(inter.where(F.col("i") >= similarity * (F.col("s") - F.col("i")) - 1e-9).select("u", "v"))
     discard(sets)
     return out
-
-
-def _possible(a: str, b: str, similarity: float) -> Column:
-    """Whether sizes and the places of a shared key allow the similarity."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    left = F.least(na - F.col(f"{a}.place"), nb - F.col(f"{b}.place"))
-    return (F.least(na, nb) >= similarity * F.greatest(na, nb) - 1e-9) & (left >= similarity / (1 + similarity) * (na + nb) - 1e-9)
-
-
-def links(docs: DataFrame, classes: DataFrame, crowded: np.ndarray, shingle: int, similarity: float) -> DataFrame:
-    """u, v: classes of the similarity or more, enough to connect them all."""
-    every = cut(keys(docs, shingle, similarity, crowded))
-    shared = every.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key", "low")
-    rows = cut(every.join(shared, "key").distinct())
-    discard(every)
-    center = rows.where("c = low").select("key", "c", "n", "place")
-    star = rows.alias("a").join(center.alias("b"), F.col("a.key") == F.col("b.key")).where((F.col("a.c") != F.col("b.c")) & _possible("a", "b", similarity))
-    near = confirmed(docs, classes, cut(star.select(F.col("a.c").alias("u"), F.col("b.c").alias("v")).distinct()), shingle, similarity)
-    root = components(near)
-    placed = cut(rows.join(root, rows["c"] == root["u"], "left").select("key", "low", "c", "n", "place", F.coalesce("v", "c").alias("part")))
-    discard(rows)
-    # Keys whose rows are all connected are done.
-    apart = placed.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("key")
-    left = placed.join(apart, "key")
-    other = left.where("c <> low")  # all have met the smallest
-    two = other.alias("a").join(other.alias("b"), F.col("a.key") == F.col("b.key")).where((F.col("a.c") < F.col("b.c")) & (F.col("a.part") != F.col("b.part")) & _possible("a", "b", similarity))
-    rest = confirmed(docs, classes, cut(two.select(F.col("a.c").alias("u"), F.col("b.c").alias("v")).distinct()), shingle, similarity)
-    return near.unionByName(rest)
-
-
-def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` without near copies (Jaccard similarity of shingle sets): of each component the row with the smallest doc_id stays (of equal ids, one row).
-
-    Rows with a null id all stay.
-    """
-    rows = classed(docs, shingle)
-    prints = rows.where("counts is null").drop("counts")
-    known = prints.where("doc_id is not null")
-    classes = cut(known.groupBy("c").agg(F.min("doc_id").alias("id")))
-    root = components(links(docs, classes, _crowded(rows), shingle, similarity))
-    stay = classes.join(root, classes["c"] == root["u"], "left").groupBy(F.coalesce("v", "c").alias("g")).agg(F.min("id").alias("_d")).select("_d").distinct()
-    counts = prints.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
-    kept = docs.join(cut(stay), F.col("doc_id") == F.col("_d"), "left_semi")
-    repeated = counts.where("doc_id is not null and _n > 1").select(F.col("doc_id").alias("_d"))
-    if not repeated.isEmpty():
-        same = F.col("doc_id") == F.col("_d")
-        kept = kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id"]))
-    if not counts.where("doc_id is null").isEmpty():
-        kept = kept.unionByName(docs.where(F.col("doc_id").isNull()))
-    return kept

@@ -13,6 +13,10 @@
    beyond the radius.  Only a spanning forest of each bucket's links is returned.
 4. Connected components, written and reread between rounds.
 
+``one_of_each`` does the same with the sets of five-word shingles behind the fingerprints: rows
+share a key if their sets can be similar, the bit-sliced comparison of 256 bits leaves candidates, and each
+is confirmed by the exact Jaccard similarity before it is a link.
+
 Buckets of more than ``CHUNK`` rows are dealt into chunks and every pair of
 chunks becomes a group of its own, so a hot bucket is neither cut short nor left
 to one task.
@@ -24,6 +28,7 @@ with a null id get a fingerprint and no component; rows with the same id share t
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,27 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import free, tidy
 from millrace.llm.components import components
-from millrace.llm.shingles import one_of_each, shingle_hashes  # noqa: F401
-from millrace.plans.staging import cut
+from millrace.llm.shingles import classed, confirmed, crowded, majority, shared_keys, shingle_hashes
+from millrace.plans.staging import cut, discard
 
 CHUNK = 8192
-_MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
-
-
-def majority(h: np.ndarray, words: int) -> np.ndarray:
-    """The fingerprint as ``words`` 64-bit words; further words come from remixed hashes."""
-    out = np.zeros(words, np.uint64)
-    if not len(h):
-        return out
-    for k in range(words):
-        x = h if k == 0 else (h ^ (h >> np.uint64(31))) * np.uint64(_MIX[k % 4] + 2 * k)
-        x = x if k == 0 else x ^ (x >> np.uint64(29))
-        counts = np.zeros(64, np.int64)
-        for a in range(0, len(x), 1 << 16):
-            counts += np.unpackbits(x[a : a + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[k] = np.packbits(2 * counts > len(x), bitorder="little").view(np.uint64)[0]
-    return out
 
 
 def fingerprints(docs: DataFrame, shingle: int = 5, bits: int = 64) -> DataFrame:
@@ -164,13 +154,18 @@ def bit_sliced_pairs(f: np.ndarray, group: np.ndarray, radius: int, label: np.nd
             yield i, i + d
 
 
-def _forest(f: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def _sized(n: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the sizes of two sets allow the similarity."""
+    return np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9
+
+
+def _forest(f: np.ndarray, group: np.ndarray, radius: int, n: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect what bit_sliced_pairs connects, fewer than there are rows."""
     label = np.arange(len(f))
     us, vs = [], []
     for i, j in bit_sliced_pairs(f, group, radius, label):  # rows that are connected by now aren't compared again
-        changed = False
-        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+        changed, ok = False, _sized(n, i, j, similarity)
+        for a, b in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
             x, y = a, b
             while label[x] != x:
                 x = label[x]
@@ -188,39 +183,38 @@ def _forest(f: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray,
     return np.array(us, np.int64), np.array(vs, np.int64)
 
 
-def links(classes: DataFrame, radius: int, masks: list[np.ndarray]) -> DataFrame:
-    """u, v: ids of distinct fingerprints within the radius, enough to connect them all."""
+def compared(rows: DataFrame, radius: int, similarity: float = 0.0, forest: bool = True) -> DataFrame:
+    """u, v: ids that share a key, whose fingerprints are within the radius and whose set sizes allow the similarity.
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 4096):
-                part = batch.slice(a, 4096)
-                ids, n = part.column(0).to_numpy(), part.num_rows
-                f = part.column(1).flatten().to_numpy().view(np.uint64).reshape(n, -1)
-                key = _keys(f, masks).reshape(-1)
-                flat = np.repeat(f, len(masks), axis=0).reshape(-1)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(key.view(np.int64)), pa.array(np.repeat(ids, len(masks))),
-                    pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, f.shape[1], dtype=np.int32)), pa.array(flat.view(np.int64))),
-                ], names=["key", "id", "f"])
+    rows: key, id, f, n (size of the set), label.  With ``forest``, enough links to connect in each bucket what all would connect; else all links
+    between rows of different label.
+    """
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
 
-        def solve(key: np.ndarray, ids: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def pairs(key: np.ndarray, f: np.ndarray, n: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            if forest:
+                yield _forest(f, key, radius, n, similarity)
+                return
+            for i, j in bit_sliced_pairs(f, key, radius, label):
+                ok = _sized(n, i, j, similarity)
+                yield i[ok], j[ok]
+
+        def solve(key: np.ndarray, ids: np.ndarray, f: np.ndarray, n: np.ndarray, label: np.ndarray) -> Iterator[pa.RecordBatch]:
             start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             size = np.repeat(np.diff(np.concatenate([start, [len(key)]])), np.diff(np.concatenate([start, [len(key)]])))
             for low, high in ((2, 16), (16, 128), (128, 1 << 62)):
-                rows = np.flatnonzero((size >= low) & (size < high))
-                if len(rows):
-                    u, v = _forest(np.ascontiguousarray(f[rows]), key[rows], radius)
-                    if len(u):
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[rows][u]), pa.array(ids[rows][v])], names=["u", "v"])
+                own = np.flatnonzero((size >= low) & (size < high))
+                if len(own):
+                    for u, v in pairs(key[own], np.ascontiguousarray(f[own]), n[own], label[own]):
+                        if len(u):
+                            yield pa.RecordBatch.from_arrays([pa.array(ids[own][u]), pa.array(ids[own][v])], names=["u", "v"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)]
+            cols = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1), batch.column(3).to_numpy(), batch.column(4).to_numpy()]
             if held is not None:
                 cols = [np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)]
             last = int(np.searchsorted(cols[0], cols[0][-1]))  # the rows of the last key wait for the next batch
@@ -229,17 +223,36 @@ def links(classes: DataFrame, radius: int, masks: list[np.ndarray]) -> DataFrame
         if held is not None:
             yield from solve(*held)
 
-    rows = classes.mapInArrow(keyed, "key bigint, id bigint, f array<bigint>")
-    hot = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK))
+    hot = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > CHUNK))
     if not hot.isEmpty():
-        g = F.ceil(F.col("n") / (CHUNK // 2)).cast("long")
+        g = F.ceil(F.col("k") / (CHUNK // 2)).cast("long")
         own = F.pmod(F.xxhash64("id"), F.col("g"))
         rows = (
             rows.join(hot.select("key", g.alias("g")), "key", "left").withColumn("c", own)
             .withColumn("other", F.explode(F.when(F.col("g").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("g") - 1))))
-            .select(F.when(F.col("g").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("c", "other"), F.greatest("c", "other"))).alias("key"), "id", "f")
+            .withColumn("key", F.when(F.col("g").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("c", "other"), F.greatest("c", "other"))))
         )
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(compared, "u bigint, v bigint")
+    return rows.select("key", "id", "f", "n", "label").repartition("key").sortWithinPartitions("key").mapInArrow(tidy(run), "u bigint, v bigint")
+
+
+def links(classes: DataFrame, radius: int, masks: list[np.ndarray]) -> DataFrame:
+    """u, v: ids of distinct fingerprints within the radius, enough to connect them all."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 4096):
+                part = batch.slice(a, 4096)
+                ids, n = part.column(0).to_numpy(), part.num_rows
+                f = part.column(1).flatten().to_numpy().view(np.uint64).reshape(n, -1)
+                key = _keys(f, masks).reshape(-1)
+                flat = np.repeat(f, len(masks), axis=0).reshape(-1)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(key.view(np.int64)), pa.array(np.repeat(ids, len(masks))),
+                    pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, f.shape[1], dtype=np.int32)), pa.array(flat.view(np.int64))),
+                ], names=["key", "id", "f"])
+
+    rows = classes.select("id", "f").mapInArrow(tidy(keyed), "key bigint, id bigint, f array<bigint>")
+    return compared(rows.select("*", F.lit(0).alias("n"), F.col("id").alias("label")), radius)
 
 
 def grouped(prints: DataFrame, radius: int) -> DataFrame:
@@ -257,3 +270,49 @@ def simhash_rows(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFram
     """doc_id, fingerprint (16 hex digits), component_id of every document."""
     prints = cut(fingerprints(docs, shingle))
     return grouped(prints, radius).select("doc_id", F.lpad(F.lower(F.hex(F.col("f")[0])), 16, "0").alias("fingerprint"), "component_id")
+
+
+def radius_of(similarity: float, bits: int) -> int:
+    """Differing bits that sets of the similarity stay below: five standard deviations above what is expected of large sets and of the worst small ones (4 and 5 shingles: 3/16)."""
+    share = max(math.acos(2 * similarity / (1 + similarity)) / math.pi, 3 / 16)
+    return math.ceil(bits * share + 5 * math.sqrt(bits * share * (1 - share)))
+
+
+def similar(docs: DataFrame, classes: DataFrame, late: np.ndarray, shingle: int, similarity: float, bits: int) -> DataFrame:
+    """u, v: classes whose shingle sets have the similarity, enough to connect them all.
+
+    Fingerprints of rows that share a key are compared bit-sliced, and what is within the radius is confirmed by the exact similarity: first a
+    spanning forest of each bucket, then all pairs that aren't connected by that.
+    """
+    rows, radius = shared_keys(docs, classes, shingle, similarity, late), radius_of(similarity, bits)
+    ordered = lambda found: cut(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    near = confirmed(docs, classes, ordered(compared(rows.withColumn("label", F.col("id")), radius, similarity)), shingle, similarity)
+    root = components(near)
+    placed = cut(rows.join(root, rows["id"] == root["u"], "left").select("key", "id", "f", "n", F.coalesce("v", "id").alias("label")))
+    discard(rows)
+    apart = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")  # buckets that are all connected are done
+    rest = confirmed(docs, classes, ordered(compared(placed.join(cut(apart), "key"), radius, similarity, forest=False)), shingle, similarity)
+    discard(placed)
+    return near.unionByName(rest)
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits: int = 256) -> DataFrame:
+    """``docs`` without near copies (Jaccard similarity of shingle sets): of each component the row with the smallest doc_id stays (of equal ids, one row).
+
+    Null and blank texts have the empty set and are copies of each other.  Rows with a null id all stay.
+    """
+    rows = classed(docs, shingle, bits // 64)
+    prints = rows.where("counts is null").drop("counts")
+    classes = cut(prints.where("doc_id is not null").groupBy("c").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.min("f").alias("f")))
+    root = components(similar(docs, classes, crowded(rows), shingle, similarity, bits))
+    d, n = free(docs, "d", "n")
+    stay = classes.join(root, classes["c"] == root["u"], "left").groupBy(F.coalesce("v", "c").alias("g")).agg(F.min("id").alias(d)).select(d).distinct()
+    counts = prints.groupBy("doc_id").agg(F.count(F.lit(1)).alias(n))
+    kept = docs.join(cut(stay), F.col("doc_id") == F.col(d), "left_semi")
+    repeated = counts.where(F.col("doc_id").isNotNull() & (F.col(n) > 1)).select(F.col("doc_id").alias(d))
+    if not repeated.isEmpty():
+        same = F.col("doc_id") == F.col(d)
+        kept = kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id"]))
+    if not counts.where(F.col("doc_id").isNull()).isEmpty():
+        kept = kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    return kept
