@@ -224,11 +224,12 @@ def judge(docs: DataFrame, keep: list[str] | None = None, lang: str = "lang", so
     groups = cut(estimates(rows.where(~F.col("failed")).select("g", "x"), support, steps).join(rows.select("l", "g").distinct(), "g"))
     languages = _added(groups, ["l"])
     found = _leaning(groups, _leaning(languages, _added(groups, []), [], prior), ["l"], prior)
-    found = cut(_cholesky(found, consistency(support)).select("g", "m", "c"))
+    variance = F.transform("c", lambda r: F.aggregate(r, F.lit(0.0), lambda a, e: a + e * e))
+    found = cut(_cholesky(found, consistency(support)).select("g", "m", "c", variance.alias("v")))
     units = {"words": n, "chars": F.col("stats")["w"]["word_chars"], "lines": F.col("stats")["l"]["n_lines"]}
-    variance = lambda i: sum((F.col("c")[i][j] * F.col("c")[i][j] for j in range(1, i + 1)), F.col("c")[i][0] * F.col("c")[i][0])
-    shrink = [1 / F.sqrt(1 + F.lit(noise) / (F.greatest(units[unit], F.lit(1)) * variance(i))) for i, (_, _, noise, unit) in enumerate(FEATURES)]
-    scored = _distance(rows.join(found, "g", "left"), shrink).select("row", "stats", "failed", F.when(~F.col("failed"), F.col("d")).alias("d"))
+    noisy = [1 / F.sqrt(1 + F.lit(noise) / (F.greatest(units[unit], F.lit(1)) * F.col("v")[i])) for i, (_, _, noise, unit) in enumerate(FEATURES)]
+    shrink = [F.col("shrink")[i] for i in range(D)]
+    scored = _distance(rows.join(found, "g", "left").withColumn("shrink", F.array(*noisy)), shrink).select("row", "stats", "failed", F.when(~F.col("failed"), F.col("d")).alias("d"))
     return scored.select("row", F.struct(
         n.alias("n_words"), *(F.col("stats")["w"][c].alias(c) for c in ("word_chars", "n_symbols", "n_repeat_words")), F.col("stats")["l"]["n_dup_lines"].alias("n_dup_lines"),
         F.col("d").alias("distance"), F.col("failed").alias("base_failed"), (~F.col("failed") & F.coalesce(F.col("d") <= chi_squared_quantile(sure, D), F.lit(True))).alias("kept"),

@@ -232,7 +232,8 @@ def compared(rows: DataFrame, radius: int, similarity: float = 0.0, forest: bool
             .withColumn("other", F.explode(F.when(F.col("g").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("g") - 1))))
             .withColumn("key", F.when(F.col("g").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("c", "other"), F.greatest("c", "other"))))
         )
-    return rows.select("key", "id", "f", "n", "label").repartition("key").sortWithinPartitions("key").mapInArrow(tidy(run), "u bigint, v bigint")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be coalesced
+    return rows.select("key", "id", "f", "n", "label").repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(tidy(run), "u bigint, v bigint")
 
 
 def links(classes: DataFrame, radius: int, masks: list[np.ndarray]) -> DataFrame:
