@@ -380,3 +380,18 @@ def test_top_k_of_more_than_a_thousand_lengths(spark):
     rows = [(50 * d, [1.0] * d) for d in range(1, 1003)] + [(1, [2.0] * 1002), (2, [2.0])]
     got = {tuple(r) for r in topk.top_rows(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")).collect()}
     assert got == {(50, 1, 2, 2 << 16), (50 * 1002, 1, 1, 1002 * (2 << 16))}
+
+
+def test_top_k_of_clusters_with_ties(spark):
+    """Many equal scores at the last rank, repeated query rows, blocks that are eliminated whole."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(12, 8)) * 4
+    rows = [(i, [float(round(x * 4) / 4) for x in centres[i % 12] + rng.normal(size=8) * 0.2]) for i in range(900)]
+    rows += [(2000 + i, rows[50][1]) for i in range(12)] + [rows[100]] * 2
+    single = [(i, np.floor(256 * np.float32(v).astype(float)).astype(int)) for i, v in rows]
+    want = set()
+    for q, v in single:
+        if q % 50 == 0:
+            best = sorted((-int(v @ w), i) for i, w in single if i != q)[:5]
+            want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(best)}
+    assert {tuple(r) for r in topk.top_rows(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")).collect()} == want
