@@ -136,15 +136,16 @@ for _name, (_fn, _sql) in _FILTERS.items():
     QUERIES[_name] = _filtered(_fn)
     ORACLE_SQL[_name] = f"SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE {_sql}"
 
-# Joins.  Keys with nulls and rows without partners are made on both sides.
+# Joins.  Keys with nulls and keys without partners are made on both sides; all rows take part.
 
-_ORDERS = "SELECT o_orderkey, CASE WHEN o_custkey % 10 = 0 THEN NULL ELSE o_custkey END AS key FROM orders WHERE o_orderstatus = 'F'"
-_CUSTOMERS = "SELECT c_name, CASE WHEN c_custkey % 50 = 0 THEN NULL ELSE c_custkey END AS key FROM customer WHERE c_custkey % 3 <> 1"
+_ORDERS = "SELECT o_orderkey, CASE WHEN o_custkey % 500 = 0 THEN NULL WHEN o_custkey % 10 = 1 THEN -1 - o_custkey ELSE o_custkey END AS key FROM orders"
+_CUSTOMERS = "SELECT c_name, CASE WHEN c_custkey % 50 = 0 THEN NULL WHEN c_custkey % 3 = 1 THEN 1000000000 + c_custkey ELSE c_custkey END AS key FROM customer"
 
 
 def _sides(t: Tables) -> tuple[DataFrame, DataFrame]:
-    left = t.orders.where("o_orderstatus = 'F'").select("o_orderkey", F.when(F.col("o_custkey") % 10 != 0, F.col("o_custkey")).alias("key"))
-    right = t.customer.where("c_custkey % 3 <> 1").select("c_name", F.when(F.col("c_custkey") % 50 != 0, F.col("c_custkey")).alias("key"))
+    o, c = F.col("o_custkey"), F.col("c_custkey")
+    left = t.orders.select("o_orderkey", F.when(o % 500 == 0, F.lit(None)).when(o % 10 == 1, -1 - o).otherwise(o).alias("key"))
+    right = t.customer.select("c_name", F.when(c % 50 == 0, F.lit(None)).when(c % 3 == 1, 1_000_000_000 + c).otherwise(c).alias("key"))
     return left, right
 
 
@@ -193,15 +194,15 @@ def side_singleton_filter(t: Tables) -> DataFrame:
     return joins.filter_with_singleton(t.customer, mean, lambda m: F.col("c_acctbal") > m).select("c_custkey")
 
 
-@query("SELECT r_regionkey, CAST(count(n_nationkey) AS BIGINT) AS nations FROM region LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 2 = 0 AND n_regionkey < 4) ON r_regionkey = n_regionkey GROUP BY ALL")
+@query("SELECT r_regionkey, CAST(count(n_nationkey) AS BIGINT) AS nations FROM region LEFT JOIN nation ON r_regionkey = CASE WHEN n_nationkey % 2 = 0 THEN n_regionkey + 1 ELSE n_regionkey * 2 + 2 END GROUP BY ALL")
 def side_multimap(t: Tables) -> DataFrame:
-    many = t.nation.where("n_nationkey % 2 = 0 and n_regionkey < 4").select(F.col("n_regionkey").alias("r_regionkey"), "n_nationkey")
+    many = t.nation.select(F.expr("CASE WHEN n_nationkey % 2 = 0 THEN n_regionkey + 1 ELSE n_regionkey * 2 + 2 END").alias("r_regionkey"), "n_nationkey")
     return joins.map_with_side_multimap(t.region, many, "r_regionkey").select("r_regionkey", F.size("values").cast("long").alias("nations"))
 
 
-@query("SELECT l_orderkey, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT' AND o_custkey < 50 GROUP BY ALL")
+@query("SELECT l_orderkey, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT' GROUP BY ALL")
 def bloom_join(t: Tables) -> DataFrame:
-    few = t.orders.where("o_orderpriority = '1-URGENT' and o_custkey < 50").select(F.col("o_orderkey").alias("l_orderkey"))
+    few = t.orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"))
     return joins.join_inner(bloom.might_contain(t.lineitem.select("l_orderkey"), "l_orderkey", few, "l_orderkey"), few, "l_orderkey").groupBy("l_orderkey").agg(C.count().alias("n"))
 
 

@@ -15,9 +15,18 @@ from pyspark.sql import functions as F
 SIDE_ROWS = 100_000
 
 
-def _on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Column]:
-    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-    return renamed, reduce(lambda a, b: a & b, (left[k].eqNullSafe(renamed[f"_r_{k}"]) for k in keys))
+def _unused(name: str, *frames: DataFrame) -> str:
+    """The name, with as many underscores before it as no column has."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def _on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Column, dict[str, str]]:
+    own = {k: _unused(f"_r_{k.lower()}", left, right) for k in keys}
+    renamed = right.withColumnsRenamed(own)
+    return renamed, reduce(lambda a, b: a & b, (left[k].eqNullSafe(renamed[own[k]]) for k in keys)), own
 
 
 def join(left: DataFrame, right: DataFrame, keys: str | Sequence[str], how: str = "inner") -> DataFrame:
@@ -29,9 +38,10 @@ def join(left: DataFrame, right: DataFrame, keys: str | Sequence[str], how: str
     clash = (set(left.columns) & set(right.columns)) - set(names)
     if clash:
         raise ValueError(f"both sides have {sorted(clash)}; rename them first")
-    renamed, on = _on(left, right.withColumn("_r", F.lit(True)), names)
+    there = _unused("_r", left, right)
+    renamed, on, own = _on(left, right.withColumn(there, F.lit(True)), names)
     both = left.join(renamed, on, how)
-    key = {"inner": lambda k: left[k], "left": lambda k: left[k], "right": lambda k: renamed[f"_r_{k}"]}.get(how, lambda k: F.when(F.col("_r").isNotNull(), renamed[f"_r_{k}"]).otherwise(left[k]))
+    key = {"inner": lambda k: left[k], "left": lambda k: left[k], "right": lambda k: renamed[own[k]]}.get(how, lambda k: F.when(renamed[there].isNotNull(), renamed[own[k]]).otherwise(left[k]))
     return both.select(*(key(k).alias(k) for k in names), *(left[c] for c in left.columns if c not in names), *(renamed[c] for c in right.columns if c not in names))
 
 
@@ -96,7 +106,7 @@ def map_with_side(df: DataFrame, other: DataFrame, key: str, fn: Callable[[DataF
 
 def filter_with_side(df: DataFrame, other: DataFrame, key: str, present: bool = True) -> DataFrame:
     """Rows whose key is (or isn't) among the side input's."""
-    renamed, on = _on(df, side(other.select(key).distinct()), [key])
+    renamed, on, _ = _on(df, side(other.select(key).distinct()), [key])
     return df.join(renamed, on, "left_semi" if present else "left_anti")
 
 

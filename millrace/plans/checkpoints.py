@@ -1,4 +1,6 @@
-"""Named checkpoints that a rerun picks up: the data of a step, in the shared folder, with a fingerprint of its plan."""
+"""Named checkpoints that a rerun picks up: the data of a step, in the shared folder, under the step's name and version.
+
+A changed plan under an old name and version is not noticed: change the version with it."""
 
 from __future__ import annotations
 

@@ -36,6 +36,15 @@ def shared_root(spark: SparkSession) -> str:
     return _OWN_ROOTS[app]
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is written there is removed when the application ends."""
+    top = f"{shared_root(spark)}/millrace-{spark.sparkContext.applicationId}"
+    if top not in _WRITTEN:
+        _WRITTEN.add(top)
+        atexit.register(_remove, spark, top)
+    return f"{top}/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and return a frame that reads it.
 
@@ -43,11 +52,7 @@ def cut(df: DataFrame) -> DataFrame:
     then they are removed.  The finished job's shuffle files are released now.
     """
     spark = df.sparkSession
-    top = f"{shared_root(spark)}/millrace-{spark.sparkContext.applicationId}"
-    if top not in _WRITTEN:
-        _WRITTEN.add(top)
-        atexit.register(_remove, spark, top)
-    path = f"{top}/{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
     gc.collect()  # frames in reference cycles still hold their plans, and so their shuffle files
     spark.sparkContext._jvm.System.gc()

@@ -8,6 +8,7 @@ Spark's file systems.
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -37,7 +38,7 @@ def expand_glob(spark: SparkSession, pattern: str, required: bool = False) -> li
 
 def _needs_python(spark: SparkSession, path: str) -> bool:
     """Whether some file has a codec that Spark's text sources lack (or one that only the first bytes show)."""
-    names = expand_glob(spark, path)
+    names = expand_glob(spark, path) or expand_glob(spark, f"{path.rstrip('/')}/*")  # the part files of a folder
     own = {c.name for n in names if (c := compression.by_extension(n))}
     return bool(own - {"gzip", "bzip2"})
 
@@ -175,36 +176,41 @@ def write_xml(df: DataFrame, path: str, single: bool = False) -> int:
 
 
 def write_blobs(df: DataFrame, path: str, encode: Callable[[list[dict]], bytes], extension: str, single: bool = False) -> int:
-    """Part files of bytes that ``encode`` makes of each partition's rows.
+    """Part files of bytes that ``encode`` makes of each partition's rows; what was there before goes.
 
-    For formats that Spark can't write; the folder must be one that all executors see as a local path.
+    For formats that Spark can't write.  Tasks write through pyarrow's file systems, so the folder is on storage that all executors
+    reach (hdfs, s3, gs and the like) or a shared local path.  A part is moved to its name when it is whole.
     """
-    import os
-
-    folder = path.removeprefix("file://")
-    target = folder if not single else f"{folder}.{uuid.uuid4().hex}"
-    os.makedirs(target, exist_ok=True)
+    target = path if not single else f"{path}.{uuid.uuid4().hex}"
+    if "://" not in target:
+        target = "file://" + os.path.abspath(target)
+    _delete(df.sparkSession, target)
     names = df.columns
     run_id = uuid.uuid4().hex
     codec = compression.by_extension(path)
+    extension += codec.extensions[0] if codec else ""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs as filesystems
         from pyspark import TaskContext
 
         rows = [r.asDict(True) if hasattr(r, "asDict") else r for b in batches for r in _plain(b[names])]
         if rows:
             raw = encode(rows)
             part = TaskContext.get()
-            name = f"{target}/part-{part.partitionId():05d}-{run_id}{extension}"
-            with open(f"{name}.{part.taskAttemptId()}", "wb") as f:
+            fs, folder = filesystems.FileSystem.from_uri(target)
+            fs.create_dir(folder, recursive=True)
+            name = f"{folder}/part-{part.partitionId():05d}-{run_id}{extension}"
+            held = f"{folder}/.{part.taskAttemptId()}-{run_id}"  # readers pass over names with a dot
+            with fs.open_output_stream(held, compression=None) as f:
                 f.write(codec.compress(raw) if codec else raw)
-            os.replace(f"{name}.{part.taskAttemptId()}", name)
+            fs.move(held, name)
         yield pd.DataFrame({"n": [len(rows)]})
 
     source = df.coalesce(1) if single else df
     n = source.mapInPandas(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     if single:
-        _as_one_file(df.sparkSession, "file://" + target, "file://" + folder)
+        _as_one_file(df.sparkSession, target, path if "://" in path else "file://" + os.path.abspath(path))
     return n
 
 
