@@ -3,9 +3,12 @@
 A page becomes blocks of text.  Pass one decides the clear ones: blocks inside navigation, headers, footers, sidebars, forms,
 adverts, notices or reader comments (by element, role, class or id) and blocks made of links are boilerplate; long blocks with
 many stop words, and long blocks of the article element, are text.  Pass two: short blocks left over take the label of
-the nearest decided neighbour of their region.
+the nearest decided neighbour of their region.  Class names and ids are evidence only: if nothing is left with them, they
+mark what holds the text itself, and the page is decided without them.
 
 Defined results: null or empty html gives an empty text; unclosed or stray tags never raise; every page is judged by itself and whole.
+Of the elements whose content is never text, one that closes itself or has no end tag takes only its tag out of the page (a
+script or style: all that follows); an option ends where the next tag begins.  The scan is linear in the page's length.
 """
 
 from __future__ import annotations
@@ -17,12 +20,16 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Elements whose content is never text.
-DROPPED = "script|style|noscript|template|textarea|select|option|svg|math|iframe|object|canvas|audio|video|button|title"
+from millrace.llm.common import tidy
+
+#: Elements whose content is never text, and those of them that go on to the end of the page if they aren't closed.
+DROPPED = frozenset("script style noscript template textarea select datalist svg math iframe object canvas audio video button title".split())
+ENDLESS = frozenset(("script", "style"))
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({DROPPED})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
+    r"<!--|<option\b[^>]*>[^<]*|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
+ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in DROPPED}
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 #: Elements that hold blocks; others (p, h1, li, td and the like) are blocks themselves.
@@ -47,32 +54,69 @@ STOP = frozenset(
 TEXT, JUNK, OPEN = 1, 0, -1
 
 
-def _flagged(tag: str, attributes: str, inside_article: bool) -> bool:
+#: What marks boilerplate: nothing, a name, an element or role.
+CLEAR, NAMED, SURE = 0, 1, 2
+
+
+def _flagged(tag: str, attributes: str, inside_article: bool) -> int:
     if tag in BOILERPLATE or tag == "header" and not inside_article:
-        return True
+        return SURE
+    found = CLEAR
     for m in NAMES.finditer(attributes):
         value = (m[1] or m[2] or m[3] or "").lower()
         if m[0][:4].lower() == "role":
             if value.strip() in ROLES:
-                return True
+                return SURE
         elif any(part in MARKS for part in re.split(r"[^a-z]+", value)):
-            return True
-    return False
+            found = NAMED
+    return found
+
+
+def _tags(page: str) -> Iterator[tuple[str, str, bool, str]]:
+    """The text before each tag, then the tag's name ("" for what is dropped or no element), whether it is an end tag, and its attributes; at last the text that is left."""
+    last, at, unclosed = page.rfind(">") + 1, 0, set()
+    while m := TOKEN.search(page, at, last):
+        before, at = page[at : m.start()], m.end()
+        name = (m[2] or m[5] or "").lower()
+        if not name:
+            if m[0] == "<!--":
+                end = page.find("-->", at)
+                at = end + 3 if end >= 0 else len(page)
+            yield before, "", False, ""
+            continue
+        ending, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
+        if name not in DROPPED:
+            yield before, name, ending, attributes
+            continue
+        if not ending and name not in unclosed and not attributes.endswith("/"):
+            end = ENDS[name].search(page, at)
+            if end:
+                at = end.end()
+            elif name in ENDLESS:
+                at = len(page)
+            else:
+                unclosed.add(name)  # looked for once only
+        yield before + " ", "", False, ""
+        if at > last:
+            break
+    rest = page[at:]
+    opened = rest.find("<!--")
+    yield rest if opened < 0 else rest[:opened], "", False, ""
 
 
 class _Block:
-    __slots__ = ("text", "linked", "junk", "article", "listed", "heading")
+    __slots__ = ("text", "linked", "mark", "junk", "article", "listed", "heading")
 
-    def __init__(self, text: str, linked: int, junk: bool, article: int, listed: bool, heading: bool):
-        self.text, self.linked, self.junk, self.article, self.listed, self.heading = text, linked, junk, article, listed, heading
+    def __init__(self, text: str, linked: int, mark: int, article: int, listed: bool, heading: bool):
+        self.text, self.linked, self.mark, self.junk, self.article, self.listed, self.heading = text, linked, mark, mark > CLEAR, article, listed, heading
 
 
 def blocks(page: str) -> list[_Block]:
     """The page's text blocks in order, with what surrounds them."""
     out: list[_Block] = []
-    stack: list[tuple[str, bool, int]] = []  # holder, boilerplate, number of the article around or 0
+    stack: list[tuple[str, int, int]] = []  # holder, mark of boilerplate, number of the article around or 0
     parts: list[str] = []
-    linked, depth, leaf_junk, heading, listed, articles, at = 0, 0, False, False, False, 0, 0
+    linked, depth, leaf_mark, heading, listed, articles = 0, 0, CLEAR, False, False, 0
 
     def add(raw: str) -> None:
         nonlocal linked
@@ -87,27 +131,21 @@ def blocks(page: str) -> list[_Block]:
         parts.clear()
         text = " ".join(html.unescape(raw).split())
         if text:
-            _, junk, article = stack[-1] if stack else ("", False, 0)
-            out.append(_Block(text, min(linked, len(text)), junk or leaf_junk, article, listed, heading))
+            _, mark, article = stack[-1] if stack else ("", CLEAR, 0)
+            out.append(_Block(text, min(linked, len(text)), max(mark, leaf_mark), article, listed, heading))
         linked = 0
 
-    for m in TOKEN.finditer(page):
-        add(page[at : m.start()])
-        at = m.end()
-        tag = (m[3] or m[6] or "").lower()
+    for before, tag, ending, attributes in _tags(page):
+        add(before)
         if not tag:
-            if m[1]:
-                add(" ")
             continue
-        ending = bool(m[2] or m[5])
         if tag == "a":
             depth = 0 if ending else 1
         elif tag == "br":
             add(" ")
         elif tag not in INLINE:
             close()
-            leaf_junk, heading, depth = False, False, 0
-            attributes = m[4] or m[7] or ""
+            leaf_mark, heading, depth = CLEAR, False, 0
             if tag in HOLDERS:
                 if tag == "body" and not ending:
                     stack.clear()
@@ -116,16 +154,16 @@ def blocks(page: str) -> list[_Block]:
                     if tag in names:
                         del stack[len(names) - 1 - names[::-1].index(tag) :]
                 else:
-                    _, junk, article = stack[-1] if stack else ("", False, 0)
+                    _, mark, article = stack[-1] if stack else ("", CLEAR, 0)
                     if tag in ARTICLE and not article:
                         articles += 1
                         article = articles
-                    stack.append((tag, junk or (tag not in ARTICLE or bool(article)) and _flagged(tag, attributes, bool(article)), article))
+                    own = tag != "html" and tag != "body" and (tag not in ARTICLE or bool(article))
+                    stack.append((tag, max(mark, _flagged(tag, attributes, bool(article)) if own else CLEAR), article))
                 listed = any(s[0] in ("ul", "ol", "dl") for s in stack)
             elif not ending:
-                leaf_junk = _flagged(tag, attributes, True) if attributes else False
+                leaf_mark = _flagged(tag, attributes, True) if attributes else CLEAR
                 heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-    add(page[at:])
     close()
     return out
 
@@ -169,7 +207,12 @@ def decide(found: list[_Block], long: int = 70, dense: float = 0.2) -> list[bool
 
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
-    return "\n\n".join(b.text for b, keep in zip(found, decide(found), strict=True) if keep)
+    kept = decide(found)
+    if not any(kept) and any(b.mark == NAMED for b in found):
+        for b in found:
+            b.junk = b.mark == SURE
+        kept = decide(found)
+    return "\n\n".join(b.text for b, keep in zip(found, kept, strict=True) if keep)
 
 
 def extracted(pages: DataFrame) -> DataFrame:
@@ -181,4 +224,4 @@ def extracted(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kinds = dict(pages.dtypes)
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars bigint")
+    return pages.select("page_id", "url", "html").mapInArrow(tidy(run), f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars bigint")

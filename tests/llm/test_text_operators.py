@@ -118,6 +118,27 @@ def test_extraction_without_article_element():
     assert found[0] == "Head" and found[2] == "Yes." and len(found) == 4
 
 
+ARTICLE = "<p>The house of the man was in the middle of the town, and it was as old as the hills that are around it.</p><p>All of that was not known to them when they came to the house in the year of the flood, but it is now.</p>"
+
+
+@pytest.mark.parametrize("page", [
+    f'<html><body class="has-sidebar">{ARTICLE}</body></html>', f'<div class="content with-sidebar">{ARTICLE}</div>', f'<div class="post legal">{ARTICLE}</div>', f'<div id="comment-policy-article">{ARTICLE}</div>',
+    f"<svg width=1 />{ARTICLE}", f"<iframe src=x />{ARTICLE}", f"<datalist><option>a<option>b</datalist>{ARTICLE}", f"<iframe src=x>{ARTICLE}", f"<select><option>a<option>b</select>{ARTICLE}",
+    f"<title>No</title><button>Press</button>{ARTICLE}<!-- an end", f"{ARTICLE}<script>if (a > b) c", f"<!-- <p>no</p> -->{ARTICLE}<style>p > a",
+])
+def test_ordinary_markup_keeps_the_article(page):
+    assert extraction.main_text(page) == "\n\n".join(x.removesuffix("</p>") for x in ARTICLE.split("<p>")[1:])
+
+
+@pytest.mark.parametrize("part", ['<a "', "<a '", "<!--", "<svg>", "<script ", "<b", "</", '<p x="', "<div class='ad", "<option>", "<a \"'>"])
+def test_extraction_is_linear(part):
+    import time
+
+    began = time.perf_counter()
+    extraction.main_text(part * (500_000 // len(part)))
+    assert time.perf_counter() - began < 10
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<a href='", "'>", "<div class=\"ad\">", "</div>", "<article>", "</article>", "<!--", "-->", "<script>", "</script>", "text of the ", "&amp;", "&#x41;", "<", ">", "<br>", "</nav>", "<nav>", "\""]), max_size=40))
 def test_extraction_never_raises(parts):
