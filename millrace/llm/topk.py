@@ -158,8 +158,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     table = cut(rows.mapInArrow(tidy(partial(measured, asked=False)), kind))
     questions = cut(rows.where(is_query).distinct().mapInArrow(tidy(partial(measured, asked=True)), kind))
 
-    def dealt(frame: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-        """The rows in blocks of about ``size`` with the same nearest pivot, ``b``; and each block's intervals."""
+    def dealt(frame: DataFrame, size: int, groups: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
+        """The rows in blocks ``b`` of about ``size`` with the same nearest pivot (of few rows, with neighbouring pivots); and each block's intervals."""
+        frame = frame.withColumn("near", F.floor(F.col("near") * groups / PIVOTS).cast("int"))
         parts = frame.groupBy("dim", "near").agg(F.ceil(F.count(F.lit(1)) / size).cast("long").alias("parts"))
         own = frame.join(cut(parts), ["dim", "near"]).withColumn("b", F.xxhash64("near", F.pmod(F.xxhash64("id", "v"), F.col("parts")))).drop("parts")
         own = cut(own)
@@ -167,7 +168,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
         return own, cut(own.groupBy("dim", "b").agg(ends(F.min, "low"), ends(F.max, "high"), F.min("least").alias("least"), F.max(norm).alias("size")))
 
     candidates, c_ends = dealt(table, BLOCK)
-    asked, q_ends = dealt(questions, QUERIES)
+    asked, q_ends = dealt(questions, QUERIES, min(PIVOTS, max(1, math.ceil(questions.count() / QUERIES))))
     c = c_ends.select("dim", F.col("b").alias("cb"), F.col("low").alias("cl"), F.col("high").alias("ch"))
     m = F.create_map(*(F.lit(x) for d, v in most.items() for x in (int(d), float(v)))) if most else F.lit(None).cast("map<int,double>")
     apart = F.array_max(F.transform(F.arrays_zip("low", "high", "cl", "ch"), lambda e: F.greatest(e["cl"] - e["high"], e["low"] - e["ch"], F.lit(0.0))))
@@ -175,8 +176,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     pairs = q_ends.join(c, "dim").withColumn("m", F.try_element_at(m, F.col("dim"))).where(F.col("m").isNull() | (upper >= F.col("least"))).select("dim", "cb", F.col("b").alias("qb"))
     held = candidates.groupBy("dim", F.col("b").alias("cb")).agg(F.collect_list(F.struct("id", "v", "p")).alias("c"))
     wanted = asked.groupBy("dim", F.col("b").alias("qb")).agg(F.collect_list(F.struct("id", "v", "p", "least")).alias("q"))
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    work = held.join(cut(pairs), ["dim", "cb"]).join(wanted, ["dim", "qb"]).select("dim", "c", "q").repartition(tasks)
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be coalesced
+    copies = cut(pairs).join(wanted, ["dim", "qb"]).select("dim", "cb", "q").repartition(tasks, "dim", "cb")  # query blocks are copied, not the larger candidate blocks
+    work = copies.join(held.repartition(tasks, "dim", "cb").hint("merge"), ["dim", "cb"]).select("dim", "c", "q")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
