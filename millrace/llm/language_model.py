@@ -204,9 +204,10 @@ def train(rows: DataFrame, look: Lookup, rounds: int = 3, size: int = 32) -> dic
     for turn in range(rounds):
         shared = rows.sparkSession.sparkContext.broadcast(p)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
+            seed = 3 + 1_000_003 * turn + TaskContext.get().partitionId()  # each task and round draws noise of its own
             own = {k: x.copy() for k, x in shared.value.items()}
-            seen = nce(own, ((ids, offsets) for batch in batches for _, _, ids, offsets in _flat(batch.column(0))), unigram)
+            seen = nce(own, ((ids, offsets) for batch in batches for _, _, ids, offsets in _flat(batch.column(0))), unigram, seed=seed)
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([float(seen)]), pa.array([np.concatenate([own[k].reshape(-1) for k in names]).astype("<f4").tobytes()], pa.binary())], names=["part", "n", "p"])
 
