@@ -1,14 +1,19 @@
 """A log-bilinear language model, trained in numpy with noise-contrastive estimation.
 
 The two words before a word predict a vector, r = c1 * R[w1] + c2 * R[w2]; a word scores r . Q[w] + b[w].  The
-model's classes are the end of a text, the ``classes`` - 2 most frequent words, and one for all rarer words,
-inside which a word has its smoothed share of the counts.  So every text has a normalised probability.
+model's classes are the end of a text, the most frequent words, and ``groups`` groups that all rarer words are dealt
+into by their checksum; inside a group a word has its smoothed share of the counts.  So every text has a normalised
+probability, and no word is without a class that learns.
+
+As context a word has a vector of its own or, if rarer, one that it shares with the words of its checksum.  There are
+as many of these vectors as the vocabulary asks for, 4 times its square root (a power of 2, ``MOST`` at most: 35 MB
+with the sums of AdaGrad), so what the model gathers grows with the corpus and the workers' parameters stay bounded.
 
 * Counts: every training word, with map-side combine; nothing is sampled.
 * Lookup: words with the highest counts, ``HEAD`` at most and of ``LONGEST`` bytes at most, go to the workers; the rest of
   each text's words join the count table.
 * Training: ``rounds`` passes over parts of all training texts.  Each task does NCE with shared noise samples on its
-  own rows, starting from the same parameters, and the tasks' parameters are averaged in a tree.
+  own rows, starting from the same parameters, and the tasks' parameters are averaged in a tree, 8 at a time.
 * Scoring: batched matrix products over the distinct contexts of a batch give the normalisers.
 
 Defined results: null text has the end token only; a null id is held out by the checksum of the empty text; repeated
@@ -18,6 +23,7 @@ rows count and score each for itself; without training rows counts are zero and
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,7 +39,9 @@ from millrace.plans.staging import cut
 HEAD, LONGEST = 1 << 19, 64
 #: Distinct words that a counting task holds before it passes them on.
 HELD = 400_000
-RARE, END = 0, 1
+#: Context vectors at most, and how many sets of parameters a task averages.
+MOST, FAN = 1 << 18, 8
+END = 1
 LN10 = math.log(10)
 
 
@@ -64,9 +72,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Lookup:
-    """Counts of all training words in sum, and one by one for the head."""
+    """Counts of all training words in sum, by group of rarer words, and one by one for the head."""
 
-    def __init__(self, vocab: DataFrame, texts: int, classes: int):
+    def __init__(self, vocab: DataFrame, texts: int, classes: int, groups: int):
         n, v = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
         self.texts, self.n, self.v = texts, n + texts, v + (texts > 0)
         level = F.floor(64 * F.log2("c")).cast("int")
@@ -79,64 +87,95 @@ class Lookup:
             total, least = total + k, b
         rows = short.where(level >= least).collect()
         rows.sort(key=lambda r: (-r["c"], r["word"]))
-        self.counts = {r["word"].encode(): (i + 2 if i + 2 < classes else RARE, r["c"]) for i, r in enumerate(rows)}
-        top = [r["c"] for r in rows[: classes - 2]]
-        self.classes = len(top) + 2
-        self.rare_n, self.rare_v = n - sum(top), v - len(top)
-        self.unigram = np.array([self.rare_n + 1, texts + 1, *top], float)
+        words = [(r["word"].encode(), r["c"]) for r in rows]
+        self.groups, top = groups, words[: classes - 1 - groups]
+        self.classes = 1 + len(top) + groups
+        #: The class of each group: 0, and those behind the end and the most frequent words.
+        self.grouped = np.concatenate([[0], np.arange(2 + len(top), self.classes)]).astype(np.int64)
+        self.vectors = min(MOST, 1 << max(10, math.ceil(math.log2(4 * math.sqrt(v + 1)))))
+        self.own = min(len(words), self.vectors // 2)
+        self.counts = {w: (i + 2 if i < len(top) else self.group(w), i + 2 if i < self.own else self.shared(w), c) for i, (w, c) in enumerate(words)}
+        sums = np.zeros((groups, 2))
+        for r in vocab.groupBy(F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(groups)).alias("g")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():
+            sums[r["g"]] = r["c"], r["v"]
+        for w, c in top:
+            sums[zlib.crc32(w) % groups] -= c, 1
+        #: log10 of what a word's count + 1 is divided by inside each class that is a group.
+        self.shares = np.zeros(self.classes)
+        self.shares[self.grouped] = np.log10(sums.sum(axis=1) + 1)
+        self.unigram = np.empty(self.classes)
+        self.unigram[END] = texts + 1
+        self.unigram[2 : 2 + len(top)] = [c for _, c in top]
+        self.unigram[self.grouped] = sums[:, 0] + 1
         self.unigram /= self.unigram.sum()
 
+    def group(self, word: bytes) -> int:
+        return int(self.grouped[zlib.crc32(word) % self.groups])
+
+    def shared(self, word: bytes) -> int:
+        """The context vector of a word without one of its own: 0, or one behind the end and the words' own."""
+        at = zlib.crc32(word) % (self.vectors - self.own - 1)
+        return at + self.own + 1 if at else 0
+
 
 def encoded(docs: DataFrame, look: Lookup) -> DataFrame:
-    """rid, doc_id, held_out, ids (classes, the end last), tokens, known, head_log, rare_log, rare, tail (words outside the head)."""
-    shared = docs.sparkSession.sparkContext.broadcast(look.counts)
+    """rid, doc_id, held_out, ids (classes, the end last), seen (context vectors), tokens, known, head_log, rare_log, tail (words outside the head)."""
+    shared = docs.sparkSession.sparkContext.broadcast(look)
     end_log = math.log10(look.texts + 1)
     end_known = int(look.texts > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = {w: (i, math.log10(c + 1)) for w, (i, c) in shared.value.items()}
+        look = shared.value
+        table = {w: (i, j, math.log10(c + 1)) for w, (i, j, c) in look.counts.items()}
+        in_group = np.zeros(look.classes, bool)
+        in_group[look.grouped] = True
         rid = TaskContext.get().partitionId() << 36
-        missing = (-1, 0.0)
+        missing = (-1, -1, 0.0)
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                ids, tails, cols = [], [], []
+                ids, seen, tails, cols = [], [], [], []
                 for text in part.column(2):
                     words = _tokens(text.as_py())
                     both = [table.get(w, missing) for w in words]
                     own = np.fromiter((x[0] for x in both), np.int64, len(both))
-                    log = np.fromiter((x[1] for x in both), float, len(both))
-                    out = own < 0
-                    tails.append([words[i].decode() for i in np.flatnonzero(out)])
-                    rare = own <= RARE
-                    own[out] = RARE
+                    vector = np.fromiter((x[1] for x in both), np.int64, len(both))
+                    log = np.fromiter((x[2] for x in both), float, len(both))
+                    out = np.flatnonzero(own < 0)
+                    rest = [words[i] for i in out]
+                    tails.append([w.decode() for w in rest])
+                    own[out] = [look.group(w) for w in rest]
+                    vector[out] = [look.shared(w) for w in rest]
+                    rare = in_group[own]
                     ids.append(np.append(own, END).astype(np.int16))
-                    cols.append((len(words) + 1, len(words) - int(out.sum()) + end_known, log.sum() + end_log, log[rare].sum(), int(rare.sum())))
+                    seen.append(np.append(vector, END).astype(np.int32))
+                    cols.append((len(words) + 1, len(words) - len(out) + end_known, log.sum() + end_log, log[rare].sum() - look.shares[own].sum()))
                 c = list(zip(*cols, strict=True))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.arange(rid, rid + part.num_rows)), part.column(0), part.column(1), pa.array(ids, pa.list_(pa.int16())),
-                    *(pa.array(x, pa.int64() if k in (0, 1, 4) else pa.float64()) for k, x in enumerate(c)), pa.array(tails, pa.list_(pa.string())),
-                ], names=["rid", "doc_id", "held_out", "ids", "tokens", "known", "head_log", "rare_log", "rare", "tail"])
+                    pa.array(np.arange(rid, rid + part.num_rows)), part.column(0), part.column(1), pa.array(ids, pa.list_(pa.int16())), pa.array(seen, pa.list_(pa.int32())),
+                    *(pa.array(x, pa.int64() if k < 2 else pa.float64()) for k, x in enumerate(c)), pa.array(tails, pa.list_(pa.string())),
+                ], names=["rid", "doc_id", "held_out", "ids", "seen", "tokens", "known", "head_log", "rare_log", "tail"])
                 rid += part.num_rows
 
     kind = dict(docs.dtypes)["doc_id"]
-    return cut(docs.select("doc_id", "held_out", "text").mapInArrow(run, f"rid bigint, doc_id {kind}, held_out boolean, ids array<smallint>, tokens bigint, known bigint, head_log double, rare_log double, rare bigint, tail array<string>"))
+    return cut(docs.select("doc_id", "held_out", "text").mapInArrow(run, f"rid bigint, doc_id {kind}, held_out boolean, ids array<smallint>, seen array<int>, tokens bigint, known bigint, head_log double, rare_log double, tail array<string>"))
 
 
-def start(look: Lookup, size: int = 32, seed: int = 7) -> dict[str, np.ndarray]:
+def start(look: Lookup, size: int = 32, seed: int = 7, vectors: int = 0) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     k = look.classes
     p = {
-        "R": rng.normal(0, 0.1, (k, size)).astype(np.float32), "Q": rng.normal(0, 0.1, (k, size)).astype(np.float32),
+        "R": rng.normal(0, 0.1, (vectors or k, size)).astype(np.float32), "Q": rng.normal(0, 0.1, (k, size)).astype(np.float32),
         "b": np.log(look.unigram).astype(np.float32), "C": np.ones((2, size), np.float32) * np.array([[1.0], [0.5]], np.float32),
     }
-    return p | {f"{name} squares": np.full_like(x, 1.0) for name, x in p.items()}  # AdaGrad's sums go on from round to round
+    # AdaGrad's sums go on from round to round; a context vector has one sum for all its elements
+    return p | {f"{name} squares": np.ones_like(x[:, :1] if name == "R" else x) for name, x in p.items()}
 
 
-def contexts(ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The classes one and two places before each token; the end stands before a text."""
-    one, two = np.empty_like(ids), np.empty_like(ids)
-    one[1:], two[2:] = ids[:-1], ids[:-2]
+def contexts(seen: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The context vectors one and two places before each token; the end stands before a text."""
+    one, two = np.empty_like(seen), np.empty_like(seen)
+    one[1:], two[2:] = seen[:-1], seen[:-2]
     first = offsets[:-1]
     one[first] = two[first] = END
     second = first + 1
@@ -151,19 +190,19 @@ def _add_rows(into: np.ndarray, gains: np.ndarray, at: np.ndarray, grad: np.ndar
     starts = np.flatnonzero(np.concatenate([[True], sorted_at[1:] != sorted_at[:-1]]))
     rows = sorted_at[starts]
     g = np.add.reduceat(grad[order], starts, axis=0)
-    gains[rows] += g * g
+    gains[rows] += g * g if gains.shape == into.shape else (g * g).mean(axis=1, keepdims=True)
     into[rows] -= rate * g / np.sqrt(gains[rows])
 
 
-def nce(p: dict[str, np.ndarray], batches: Iterator[tuple[np.ndarray, np.ndarray]], unigram: np.ndarray, noise: int = 32, rate: float = 0.3, size: int = 512, seed: int = 3) -> int:
-    """Noise-contrastive estimation over flat ids with offsets; changes ``p``, returns the tokens seen."""
+def nce(p: dict[str, np.ndarray], batches: Iterator[tuple[np.ndarray, ...]], unigram: np.ndarray, noise: int = 32, rate: float = 0.3, size: int = 512, seed: int = 3) -> int:
+    """Noise-contrastive estimation over flat ids with offsets and context vectors (left out: the ids); changes ``p``, returns how many tokens it read."""
     rng = np.random.default_rng(seed)
     gains = {k: p[f"{k} squares"] for k in "RQbC"}
     cumulative = np.cumsum(unigram)
     log_noise = np.log(noise * unigram).astype(np.float32)
     seen = 0
-    for ids, offsets in batches:
-        one, two = contexts(ids, offsets)
+    for ids, offsets, *vectors in batches:
+        one, two = contexts(vectors[0] if vectors else ids, offsets)
         order = rng.permutation(len(ids))
         for a in range(0, len(order), size):
             at = order[a : a + size]
@@ -185,19 +224,20 @@ def nce(p: dict[str, np.ndarray], batches: Iterator[tuple[np.ndarray, np.ndarray
     return seen
 
 
-def _flat(column: pa.ListArray, slice_words: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    offsets = column.offsets.to_numpy().astype(np.int64)
-    flat = column.values.to_numpy(zero_copy_only=False)
+def _flat(column: pa.ListArray, seen: pa.ListArray, slice_words: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Flat ids, offsets and context vectors of some texts after the others; both columns have lists of the same lengths."""
+    offsets, others = column.offsets.to_numpy().astype(np.int64), seen.offsets.to_numpy().astype(np.int64)
+    flat, vectors = column.values.to_numpy(zero_copy_only=False), seen.values.to_numpy(zero_copy_only=False)
     a = 0
     while a < len(column):
         b = max(a + 1, min(len(column), int(np.searchsorted(offsets, offsets[a] + slice_words, "right")) - 1))
-        yield a, b, flat[offsets[a] : offsets[b]].astype(np.int64), offsets[a : b + 1] - offsets[a]
+        yield flat[offsets[a] : offsets[b]].astype(np.int64), offsets[a : b + 1] - offsets[a], vectors[others[a] : others[b]].astype(np.int64)
         a = b
 
 
 def train(rows: DataFrame, look: Lookup, rounds: int = 3, size: int = 32) -> dict[str, np.ndarray]:
     """Parameters after ``rounds`` rounds; each trains on its part of all texts that aren't held out."""
-    p = start(look, size)
+    p = start(look, size, vectors=look.vectors)
     names = list(p)
     shapes = [p[k].shape for k in names]
     unigram = look.unigram
@@ -207,7 +247,7 @@ def train(rows: DataFrame, look: Lookup, rounds: int = 3, size: int = 32) -> dic
         def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
             seed = 3 + 1_000_003 * turn + TaskContext.get().partitionId()  # each task and round draws noise of its own
             own = {k: x.copy() for k, x in shared.value.items()}
-            seen = nce(own, ((ids, offsets) for batch in batches for _, _, ids, offsets in _flat(batch.column(0))), unigram, seed=seed)
+            seen = nce(own, (x for batch in batches for x in _flat(batch.column(0), batch.column(1))), unigram, seed=seed)
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([float(seen)]), pa.array([np.concatenate([own[k].reshape(-1) for k in names]).astype("<f4").tobytes()], pa.binary())], names=["part", "n", "p"])
 
@@ -217,9 +257,12 @@ def train(rows: DataFrame, look: Lookup, rounds: int = 3, size: int = 32) -> dic
             return pa.table({"part": pa.array([t.column("g")[0].as_py()], pa.int64()), "n": [float(n.sum())], "p": pa.array([(total / n.sum()).astype("<f4").tobytes()], pa.binary())})
 
         kind = "part bigint, n double, p binary"
-        made = rows.where(~F.col("held_out") & (F.pmod(F.xxhash64("rid"), F.lit(rounds)) == turn)).select("ids").mapInArrow(run, kind)
-        for width in (4096, 64):  # a tree: few parameters meet in one task, 64 at most reach the driver
-            made = made.withColumn("g", F.pmod(F.col("part"), F.lit(width).cast("long"))).groupBy("g").applyInArrow(mean, kind)
+        made = rows.where(~F.col("held_out") & (F.pmod(F.xxhash64("rid"), F.lit(rounds)) == turn)).select("ids", "seen")
+        left = made.rdd.getNumPartitions()
+        made = made.mapInArrow(run, kind)
+        while left > 1:  # a tree: few parameters meet in one task, one set reaches the driver
+            left = -(-left // FAN)
+            made = made.withColumn("g", F.pmod(F.col("part"), F.lit(left).cast("long"))).groupBy("g").applyInArrow(mean, kind)
         found = cut(made).collect()
         if found:
             n = sum(r["n"] for r in found)
@@ -229,20 +272,32 @@ def train(rows: DataFrame, look: Lookup, rounds: int = 3, size: int = 32) -> dic
     return p
 
 
-def log_probabilities(p: dict[str, np.ndarray], ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The natural log probability of each token's class, normalised over all classes."""
-    one, two = contexts(ids, offsets)
-    k = len(p["b"])
+def _normalisers(r: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The log of the summed exponentials of r . q over all classes."""
+    with np.errstate(over="ignore"):
+        logits = r @ q.T
+        total = np.exp(logits, out=logits) @ np.ones(len(q), logits.dtype)
+        out = np.log(np.maximum(total, 1e-30))
+    bad = np.flatnonzero(~((total > 1e-20) & (total < 1e30)))
+    if len(bad):
+        logits = r[bad] @ q.T
+        top = logits.max(axis=1)
+        out[bad] = np.log(np.exp(logits - top[:, None]).sum(axis=1)) + top
+    return out
+
+
+def log_probabilities(p: dict[str, np.ndarray], ids: np.ndarray, offsets: np.ndarray, vectors: np.ndarray | None = None) -> np.ndarray:
+    """The natural log probability of each token's class, normalised over all classes; contexts are ``vectors`` (left out: the ids)."""
+    one, two = contexts(ids if vectors is None else vectors, offsets)
+    k = len(p["R"])
     pair, back = np.unique(one * k + two, return_inverse=True)
     out = np.empty(len(ids))
     r = p["C"][0] * p["R"][pair // k] + p["C"][1] * p["R"][pair % k]
+    biased = np.concatenate([p["Q"], p["b"][:, None]], axis=1)
     norm = np.empty(len(pair))
-    for a in range(0, len(pair), 2048):
-        logits = r[a : a + 2048] @ p["Q"].T
-        logits += p["b"]
-        top = logits.max(axis=1)
-        logits -= top[:, None]
-        norm[a : a + 2048] = np.log(np.exp(logits, out=logits).sum(axis=1)) + top
+    for a in range(0, len(pair), 512):
+        part = r[a : a + 512]
+        norm[a : a + 512] = _normalisers(np.concatenate([part, np.ones_like(part[:, :1])], axis=1), biased)
     for a in range(0, len(ids), 1 << 16):
         own = back[a : a + (1 << 16)]
         w = ids[a : a + (1 << 16)]
@@ -250,32 +305,31 @@ def log_probabilities(p: dict[str, np.ndarray], ids: np.ndarray, offsets: np.nda
     return out
 
 
-def scored(docs: DataFrame, classes: int = 1024, folds: int = 7, held: int = 2, rounds: int = 3) -> DataFrame:
+def scored(docs: DataFrame, classes: int = 1024, groups: int = 256, folds: int = 7, held: int = 2, rounds: int = 3) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     docs = docs.select("doc_id", "text").withColumn("held_out", crc32_mod(F.col("doc_id"), folds) == held)
     training = docs.where(~F.col("held_out"))
     vocab = cut(word_counts(training))
-    look = Lookup(vocab, training.select("doc_id").count(), classes)
+    look = Lookup(vocab, training.select("doc_id").count(), classes, groups)
     rows = encoded(docs, look)
     p = rows.sparkSession.sparkContext.broadcast(train(rows, look, rounds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total = [np.empty(0)]
-            for _, _, ids, offsets in _flat(batch.column(1)):
-                total.append(np.add.reduceat(log_probabilities(p.value, ids, offsets), offsets[:-1]) / LN10)
+            for ids, offsets, vectors in _flat(batch.column(1), batch.column(2)):
+                total.append(np.add.reduceat(log_probabilities(p.value, ids, offsets, vectors), offsets[:-1]) / LN10)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(total))], names=["rid", "model"])
 
-    model = rows.select("rid", "ids").mapInArrow(run, "rid bigint, model double")
+    model = rows.select("rid", "ids", "seen").mapInArrow(run, "rid bigint, model double")
     tail = (
         rows.select("rid", F.explode("tail").alias("word")).join(vocab, "word")
         .groupBy("rid").agg(F.sum(F.log10(F.col("c") + 1)).alias("tail_log"), F.count(F.lit(1)).alias("tail_known"))
     )
     zero = lambda c, k: F.coalesce(F.col(c), F.lit(k))
     all_words = math.log10(look.n + look.v + 1)
-    rare_words = math.log10(look.rare_n + look.rare_v + 1)
-    return rows.select("rid", "doc_id", "held_out", "tokens", "known", "head_log", "rare_log", "rare").join(model, "rid").join(tail, "rid", "left").select(
+    return rows.select("rid", "doc_id", "held_out", "tokens", "known", "head_log", "rare_log").join(model, "rid").join(tail, "rid", "left").select(
         "doc_id", "held_out", F.col("tokens").alias("n_tokens"), (F.col("known") + zero("tail_known", 0)).alias("n_known"), F.lit(look.n).cast("long").alias("train_tokens"),
         (F.col("head_log") + zero("tail_log", 0.0) - F.col("tokens") * F.lit(all_words)).alias("base_score"),
-        (F.col("model") + F.col("rare_log") + zero("tail_log", 0.0) - F.col("rare") * F.lit(rare_words)).alias("score"),
+        (F.col("model") + F.col("rare_log") + zero("tail_log", 0.0)).alias("score"),
     )
