@@ -14,7 +14,8 @@ with the sums of AdaGrad), so what the model gathers grows with the corpus and t
   each text's words join the count table.
 * Training: ``rounds`` passes over parts of all training texts.  Each task does NCE with shared noise samples on its
   own rows, starting from the same parameters, and the tasks' parameters are averaged in a tree, 8 at a time.
-* Scoring: batched matrix products over the distinct contexts of a batch give the normalisers.
+* Scoring: a context is a sum, so the exponential of its score is a product with one factor for each of its two words.
+  Batched matrix products give the factors of a batch's distinct words, the rows' inner products the exact normalisers.
 
 Defined results: null text has the end token only; a null id is held out by the checksum of the empty text; repeated
 rows count and score each for itself; without training rows counts are zero and the model is uniform over its classes.
@@ -183,12 +184,17 @@ def contexts(seen: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return one, two
 
 
-def _add_rows(into: np.ndarray, gains: np.ndarray, at: np.ndarray, grad: np.ndarray, rate: float) -> None:
-    """An AdaGrad step on the rows ``at``, whose gradients are summed first."""
+def _runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order that sorts ``at``, where each value's run starts, and the values."""
     order = np.argsort(at, kind="stable")
     sorted_at = at[order]
     starts = np.flatnonzero(np.concatenate([[True], sorted_at[1:] != sorted_at[:-1]]))
-    rows = sorted_at[starts]
+    return order, starts, sorted_at[starts]
+
+
+def _add_rows(into: np.ndarray, gains: np.ndarray, runs: tuple[np.ndarray, np.ndarray, np.ndarray], grad: np.ndarray, rate: float) -> None:
+    """An AdaGrad step on the rows of ``runs``, whose gradients are summed first."""
+    order, starts, rows = runs
     g = np.add.reduceat(grad[order], starts, axis=0)
     gains[rows] += g * g if gains.shape == into.shape else (g * g).mean(axis=1, keepdims=True)
     into[rows] -= rate * g / np.sqrt(gains[rows])
@@ -214,9 +220,10 @@ def nce(p: dict[str, np.ndarray], batches: Iterator[tuple[np.ndarray, ...]], uni
             data = 1 / (1 + np.exp(-((r * q).sum(axis=1) + p["b"][w] - log_noise[w]))) - 1
             fake = 1 / (1 + np.exp(-(r @ qs.T + p["b"][s] - log_noise[s])))
             dr = data[:, None] * q + fake @ qs
-            _add_rows(p["Q"], gains["Q"], np.concatenate([w, s]), np.concatenate([data[:, None] * r, fake.T @ r]), rate)
-            _add_rows(p["b"], gains["b"], np.concatenate([w, s]), np.concatenate([data, fake.sum(axis=0)]), rate)
-            _add_rows(p["R"], gains["R"], np.concatenate([w1, w2]), np.concatenate([dr * c[0], dr * c[1]]), rate)
+            targets = _runs(np.concatenate([w, s]))
+            _add_rows(p["Q"], gains["Q"], targets, np.concatenate([data[:, None] * r, fake.T @ r]), rate)
+            _add_rows(p["b"], gains["b"], targets, np.concatenate([data, fake.sum(axis=0)]), rate)
+            _add_rows(p["R"], gains["R"], _runs(np.concatenate([w1, w2])), np.concatenate([dr * c[0], dr * c[1]]), rate)
             dc = np.stack([(dr * r1).sum(axis=0), (dr * r2).sum(axis=0)])
             gains["C"] += dc * dc
             p["C"] = c - 0.03 * rate * dc / np.sqrt(gains["C"])
@@ -272,17 +279,33 @@ def train(rows: DataFrame, look: Lookup, rounds: int = 3, size: int = 32) -> dic
     return p
 
 
-def _normalisers(r: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """The log of the summed exponentials of r . q over all classes."""
-    with np.errstate(over="ignore"):
-        logits = r @ q.T
-        total = np.exp(logits, out=logits) @ np.ones(len(q), logits.dtype)
-        out = np.log(np.maximum(total, 1e-30))
-    bad = np.flatnonzero(~((total > 1e-20) & (total < 1e30)))
-    if len(bad):
-        logits = r[bad] @ q.T
-        top = logits.max(axis=1)
-        out[bad] = np.log(np.exp(logits - top[:, None]).sum(axis=1)) + top
+def _factors(r: np.ndarray, q: np.ndarray, bias: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
+    """exp(r . q + bias) over all classes, divided by each row's largest, and the log of that."""
+    x = r @ q.T
+    x += bias
+    top = x.max(axis=1)
+    x -= top[:, None]
+    return np.exp(x, out=x), top
+
+
+def _normalisers(p: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The log of the summed exponentials over all classes for contexts sorted by ``one``."""
+    out = np.empty(len(one))
+    for a in range(0, len(one), 1 << 15):  # the factors of 32,768 words at most are held
+        o, t = one[a : a + (1 << 15)], two[a : a + (1 << 15)]
+        words, at = np.unique(t, return_inverse=True)
+        right, right_top = _factors(p["C"][1] * p["R"][words], p["Q"], 0)
+        for c in range(0, len(o), 512):
+            own, back = np.unique(o[c : c + 512], return_inverse=True)
+            left, left_top = _factors(p["C"][0] * p["R"][own], p["Q"], p["b"])
+            total = np.einsum("ij,ij->i", left[back], right[at[c : c + 512]])
+            found = np.log(np.maximum(total, 1e-20)) + left_top[back] + right_top[at[c : c + 512]]
+            low = np.flatnonzero(total < 1e-20)  # the two words favour classes so different that the products vanish
+            if len(low):
+                r = p["C"][0] * p["R"][o[c + low]] + p["C"][1] * p["R"][t[c + low]]
+                whole, top = _factors(r, p["Q"], p["b"])
+                found[low] = np.log(whole.sum(axis=1)) + top
+            out[a + c : a + c + 512] = found
     return out
 
 
@@ -292,12 +315,9 @@ def log_probabilities(p: dict[str, np.ndarray], ids: np.ndarray, offsets: np.nda
     k = len(p["R"])
     pair, back = np.unique(one * k + two, return_inverse=True)
     out = np.empty(len(ids))
-    r = p["C"][0] * p["R"][pair // k] + p["C"][1] * p["R"][pair % k]
-    biased = np.concatenate([p["Q"], p["b"][:, None]], axis=1)
-    norm = np.empty(len(pair))
-    for a in range(0, len(pair), 512):
-        part = r[a : a + 512]
-        norm[a : a + 512] = _normalisers(np.concatenate([part, np.ones_like(part[:, :1])], axis=1), biased)
+    first, second = pair // k, pair % k
+    norm = _normalisers(p, first, second)
+    r = p["C"][0] * p["R"][first] + p["C"][1] * p["R"][second]
     for a in range(0, len(ids), 1 << 16):
         own = back[a : a + (1 << 16)]
         w = ids[a : a + (1 << 16)]
