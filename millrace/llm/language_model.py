@@ -27,6 +27,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -95,7 +96,11 @@ class Lookup:
         self.grouped = np.concatenate([[0], np.arange(2 + len(top), self.classes)]).astype(np.int64)
         self.vectors = min(MOST, 1 << max(10, math.ceil(math.log2(4 * math.sqrt(v + 1)))))
         self.own = min(len(words), self.vectors // 2)
-        self.counts = {w: (i + 2 if i < len(top) else self.group(w), i + 2 if i < self.own else self.shared(w), c) for i, (w, c) in enumerate(words)}
+        #: The place of each word of the head; by place its class, context vector and log10(count + 1), those of other words last.
+        self.places = {w: i for i, (w, _) in enumerate(words)}
+        self.class_of = np.array([*(i + 2 if i < len(top) else self.group(w) for i, (w, _) in enumerate(words)), -1], np.int64)
+        self.vector_of = np.array([*(i + 2 if i < self.own else self.shared(w) for i, (w, _) in enumerate(words)), -1], np.int64)
+        self.log_of = np.log10(np.array([*(c + 1 for _, c in words), 1], float))
         sums = np.zeros((groups, 2))
         for r in vocab.groupBy(F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(groups)).alias("g")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():
             sums[r["g"]] = r["c"], r["v"]
@@ -127,22 +132,19 @@ def encoded(docs: DataFrame, look: Lookup) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = shared.value
-        table = {w: (i, j, math.log10(c + 1)) for w, (i, j, c) in look.counts.items()}
+        find = look.places.get
         in_group = np.zeros(look.classes, bool)
         in_group[look.grouped] = True
         rid = TaskContext.get().partitionId() << 36
-        missing = (-1, -1, 0.0)
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
                 ids, seen, tails, cols = [], [], [], []
                 for text in part.column(2):
                     words = _tokens(text.as_py())
-                    both = [table.get(w, missing) for w in words]
-                    own = np.fromiter((x[0] for x in both), np.int64, len(both))
-                    vector = np.fromiter((x[1] for x in both), np.int64, len(both))
-                    log = np.fromiter((x[2] for x in both), float, len(both))
-                    out = np.flatnonzero(own < 0)
+                    place = np.fromiter(map(find, words, repeat(-1)), np.int64, len(words))
+                    own, vector, log = look.class_of[place], look.vector_of[place], look.log_of[place]
+                    out = np.flatnonzero(place < 0)
                     rest = [words[i] for i in out]
                     tails.append([w.decode() for w in rest])
                     own[out] = [look.group(w) for w in rest]
@@ -184,20 +186,30 @@ def contexts(seen: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return one, two
 
 
-def _runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order that sorts ``at``, where each value's run starts, and the values."""
-    order = np.argsort(at, kind="stable")
-    sorted_at = at[order]
-    starts = np.flatnonzero(np.concatenate([[True], sorted_at[1:] != sorted_at[:-1]]))
-    return order, starts, sorted_at[starts]
-
-
-def _add_rows(into: np.ndarray, gains: np.ndarray, runs: tuple[np.ndarray, np.ndarray, np.ndarray], grad: np.ndarray, rate: float) -> None:
-    """An AdaGrad step on the rows of ``runs``, whose gradients are summed first."""
-    order, starts, rows = runs
-    g = np.add.reduceat(grad[order], starts, axis=0)
-    gains[rows] += g * g if gains.shape == into.shape else (g * g).mean(axis=1, keepdims=True)
-    into[rows] -= rate * g / np.sqrt(gains[rows])
+def _distinct(at: np.ndarray, scratch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of ``at``, and which of them each one is; ``scratch`` is overwritten at ``at``."""
+    n = np.arange(len(at))
+    scratch[at] = n
+    rows = at[scratch[at] == n]
+    scratch[rows] = np.arange(len(rows))
+    return rows, scratch[at]
+
+
+def _add_rows(into: np.ndarray, gains: np.ndarray, distinct: tuple[np.ndarray, np.ndarray], grad: np.ndarray, rate: float) -> None:
+    """An AdaGrad step on the rows of ``distinct``, whose gradients are summed first."""
+    rows, which = distinct
+    if into.ndim == 1:
+        g = np.bincount(which, grad, len(rows)).astype(into.dtype)
+        found = gains[rows] + g * g
+    else:
+        width = into.shape[1]
+        places = (which * width)[:, None] + np.arange(width)
+        g = np.bincount(places.ravel(), grad.ravel(), len(rows) * width).astype(into.dtype).reshape(-1, width)
+        square = g * g if gains.shape == into.shape else np.einsum("ij,ij->i", g, g)[:, None] / np.float32(width)
+        found = gains.take(rows, axis=0) + square
+    gains[rows] = found
+    g *= np.float32(-rate) / np.sqrt(found)
+    into[rows] = into.take(rows, axis=0) + g
 
 
 def nce(p: dict[str, np.ndarray], batches: Iterator[tuple[np.ndarray, ...]], unigram: np.ndarray, noise: int = 32, rate: float = 0.3, size: int = 512, seed: int = 3) -> int:
@@ -206,6 +218,7 @@ def nce(p: dict[str, np.ndarray], batches: Iterator[tuple[np.ndarray, ...]], uni
     gains = {k: p[f"{k} squares"] for k in "RQbC"}
     cumulative = np.cumsum(unigram)
     log_noise = np.log(noise * unigram).astype(np.float32)
+    by_class, by_vector = np.empty(len(p["Q"]), np.int64), np.empty(len(p["R"]), np.int64)
     seen = 0
     for ids, offsets, *vectors in batches:
         one, two = contexts(vectors[0] if vectors else ids, offsets)
@@ -214,17 +227,17 @@ def nce(p: dict[str, np.ndarray], batches: Iterator[tuple[np.ndarray, ...]], uni
             at = order[a : a + size]
             w, w1, w2 = ids[at], one[at], two[at]
             s = np.minimum(np.searchsorted(cumulative, rng.random(noise)), len(unigram) - 1)
-            r1, r2, q, qs = p["R"][w1], p["R"][w2], p["Q"][w], p["Q"][s]
+            r1, r2, q, qs = p["R"].take(w1, axis=0), p["R"].take(w2, axis=0), p["Q"].take(w, axis=0), p["Q"].take(s, axis=0)
             c = p["C"]
             r = c[0] * r1 + c[1] * r2
-            data = 1 / (1 + np.exp(-((r * q).sum(axis=1) + p["b"][w] - log_noise[w]))) - 1
+            data = 1 / (1 + np.exp(-(np.einsum("ij,ij->i", r, q) + p["b"][w] - log_noise[w]))) - 1
             fake = 1 / (1 + np.exp(-(r @ qs.T + p["b"][s] - log_noise[s])))
             dr = data[:, None] * q + fake @ qs
-            targets = _runs(np.concatenate([w, s]))
+            targets = _distinct(np.concatenate([w, s]), by_class)
             _add_rows(p["Q"], gains["Q"], targets, np.concatenate([data[:, None] * r, fake.T @ r]), rate)
             _add_rows(p["b"], gains["b"], targets, np.concatenate([data, fake.sum(axis=0)]), rate)
-            _add_rows(p["R"], gains["R"], _runs(np.concatenate([w1, w2])), np.concatenate([dr * c[0], dr * c[1]]), rate)
-            dc = np.stack([(dr * r1).sum(axis=0), (dr * r2).sum(axis=0)])
+            _add_rows(p["R"], gains["R"], _distinct(np.concatenate([w1, w2]), by_vector), np.concatenate([dr * c[0], dr * c[1]]), rate)
+            dc = np.stack([np.einsum("ij,ij->j", dr, r1), np.einsum("ij,ij->j", dr, r2)])
             gains["C"] += dc * dc
             p["C"] = c - 0.03 * rate * dc / np.sqrt(gains["C"])
         seen += len(ids)
@@ -291,15 +304,23 @@ def _factors(r: np.ndarray, q: np.ndarray, bias: np.ndarray | float) -> tuple[np
 def _normalisers(p: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray) -> np.ndarray:
     """The log of the summed exponentials over all classes for contexts sorted by ``one``."""
     out = np.empty(len(one))
-    for a in range(0, len(one), 1 << 15):  # the factors of 32,768 words at most are held
-        o, t = one[a : a + (1 << 15)], two[a : a + (1 << 15)]
+    held = 1 << 15  # the factors of so many words at most
+    step = max(held, len(one) if len(p["R"]) <= held else 0)
+    for a in range(0, len(one), step):
+        o, t = one[a : a + step], two[a : a + step]
         words, at = np.unique(t, return_inverse=True)
         right, right_top = _factors(p["C"][1] * p["R"][words], p["Q"], 0)
         for c in range(0, len(o), 512):
-            own, back = np.unique(o[c : c + 512], return_inverse=True)
+            part, to = o[c : c + 512], at[c : c + 512]
+            first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            own, back = part[first], np.repeat(np.arange(len(first)), np.diff(first, append=len(part)))
             left, left_top = _factors(p["C"][0] * p["R"][own], p["Q"], p["b"])
-            total = np.einsum("ij,ij->i", left[back], right[at[c : c + 512]])
-            found = np.log(np.maximum(total, 1e-20)) + left_top[back] + right_top[at[c : c + 512]]
+            both = right.take(to, axis=0)
+            if len(first) < 64:  # a product for each first word, else one for all
+                total = np.concatenate([both[x:y] @ left[j] for j, (x, y) in enumerate(zip(first, [*first[1:], len(part)], strict=True))])
+            else:
+                total = np.einsum("ij,ij->i", left[back], both)
+            found = np.log(np.maximum(total, 1e-20)) + left_top[back] + right_top[to]
             low = np.flatnonzero(total < 1e-20)  # the two words favour classes so different that the products vanish
             if len(low):
                 r = p["C"][0] * p["R"][o[c + low]] + p["C"][1] * p["R"][t[c + low]]
@@ -321,7 +342,7 @@ def log_probabilities(p: dict[str, np.ndarray], ids: np.ndarray, offsets: np.nda
     for a in range(0, len(ids), 1 << 16):
         own = back[a : a + (1 << 16)]
         w = ids[a : a + (1 << 16)]
-        out[a : a + (1 << 16)] = (r[own] * p["Q"][w]).sum(axis=1) + p["b"][w] - norm[own]
+        out[a : a + (1 << 16)] = np.einsum("ij,ij->i", r.take(own, axis=0), p["Q"].take(w, axis=0)) + p["b"][w] - norm[own]
     return out
 
 
