@@ -98,8 +98,10 @@ class Lookup:
         self.own = min(len(words), self.vectors // 2)
         #: The place of each word of the head; by place its class, context vector and log10(count + 1), those of other words last.
         self.places = {w: i for i, (w, _) in enumerate(words)}
-        self.class_of = np.array([*(i + 2 if i < len(top) else self.group(w) for i, (w, _) in enumerate(words)), -1], np.int64)
-        self.vector_of = np.array([*(i + 2 if i < self.own else self.shared(w) for i, (w, _) in enumerate(words)), -1], np.int64)
+        place = np.arange(len(words))
+        group, shared = self.rarer(np.fromiter((zlib.crc32(w) for w, _ in words), np.int64, len(words)))
+        self.class_of = np.append(np.where(place < len(top), place + 2, group), -1)
+        self.vector_of = np.append(np.where(place < self.own, place + 2, shared), -1)
         self.log_of = np.log10(np.array([*(c + 1 for _, c in words), 1], float))
         sums = np.zeros((groups, 2))
         for r in vocab.groupBy(F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(groups)).alias("g")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():
@@ -115,13 +117,10 @@ class Lookup:
         self.unigram[self.grouped] = sums[:, 0] + 1
         self.unigram /= self.unigram.sum()
 
-    def group(self, word: bytes) -> int:
-        return int(self.grouped[zlib.crc32(word) % self.groups])
-
-    def shared(self, word: bytes) -> int:
-        """The context vector of a word without one of its own: 0, or one behind the end and the words' own."""
-        at = zlib.crc32(word) % (self.vectors - self.own - 1)
-        return at + self.own + 1 if at else 0
+    def rarer(self, checksums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The classes and context vectors (0, or one behind the end and the words' own) of words that have none of their own."""
+        at = checksums % (self.vectors - self.own - 1)
+        return self.grouped[checksums % self.groups], np.where(at > 0, at + self.own + 1, 0)
 
 
 def encoded(docs: DataFrame, look: Lookup) -> DataFrame:
@@ -147,8 +146,7 @@ def encoded(docs: DataFrame, look: Lookup) -> DataFrame:
                     out = np.flatnonzero(place < 0)
                     rest = [words[i] for i in out]
                     tails.append([w.decode() for w in rest])
-                    own[out] = [look.group(w) for w in rest]
-                    vector[out] = [look.shared(w) for w in rest]
+                    own[out], vector[out] = look.rarer(np.fromiter(map(zlib.crc32, rest), np.int64, len(rest)))
                     rare = in_group[own]
                     ids.append(np.append(own, END).astype(np.int16))
                     seen.append(np.append(vector, END).astype(np.int32))
@@ -301,15 +299,26 @@ def _factors(r: np.ndarray, q: np.ndarray, bias: np.ndarray | float) -> tuple[np
     return np.exp(x, out=x), top
 
 
-def _normalisers(p: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """The log of the summed exponentials over all classes for contexts sorted by ``one``."""
+#: Words whose factors are held at once.
+FACTORS = 1 << 15
+
+
+def _seconds(p: dict[str, np.ndarray], words: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+    """The factors of words in the place before the last."""
+    return _factors(p["C"][1] * p["R"][words], p["Q"], 0)
+
+
+def _normalisers(p: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray, seconds: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """The log of the summed exponentials over all classes for contexts sorted by ``one``; ``seconds``: the factors of all vectors, if at hand."""
     out = np.empty(len(one))
-    held = 1 << 15  # the factors of so many words at most
-    step = max(held, len(one) if len(p["R"]) <= held else 0)
+    step = FACTORS if seconds is None else max(1, len(one))
     for a in range(0, len(one), step):
         o, t = one[a : a + step], two[a : a + step]
-        words, at = np.unique(t, return_inverse=True)
-        right, right_top = _factors(p["C"][1] * p["R"][words], p["Q"], 0)
+        if seconds is None:
+            words, at = np.unique(t, return_inverse=True)
+            right, right_top = _seconds(p, words)
+        else:
+            at, (right, right_top) = t, seconds
         for c in range(0, len(o), 512):
             part, to = o[c : c + 512], at[c : c + 512]
             first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
@@ -330,14 +339,14 @@ def _normalisers(p: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray) ->
     return out
 
 
-def log_probabilities(p: dict[str, np.ndarray], ids: np.ndarray, offsets: np.ndarray, vectors: np.ndarray | None = None) -> np.ndarray:
+def log_probabilities(p: dict[str, np.ndarray], ids: np.ndarray, offsets: np.ndarray, vectors: np.ndarray | None = None, seconds: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """The natural log probability of each token's class, normalised over all classes; contexts are ``vectors`` (left out: the ids)."""
     one, two = contexts(ids if vectors is None else vectors, offsets)
     k = len(p["R"])
     pair, back = np.unique(one * k + two, return_inverse=True)
     out = np.empty(len(ids))
     first, second = pair // k, pair % k
-    norm = _normalisers(p, first, second)
+    norm = _normalisers(p, first, second, seconds)
     r = p["C"][0] * p["R"][first] + p["C"][1] * p["R"][second]
     for a in range(0, len(ids), 1 << 16):
         own = back[a : a + (1 << 16)]
@@ -356,10 +365,13 @@ def scored(docs: DataFrame, classes: int = 1024, groups: int = 256, folds: int =
     p = rows.sparkSession.sparkContext.broadcast(train(rows, look, rounds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seconds = None
         for batch in batches:
+            if seconds is None and len(p.value["R"]) <= FACTORS:
+                seconds = _seconds(p.value)  # once a task
             total = [np.empty(0)]
             for ids, offsets, vectors in _flat(batch.column(1), batch.column(2)):
-                total.append(np.add.reduceat(log_probabilities(p.value, ids, offsets, vectors), offsets[:-1]) / LN10)
+                total.append(np.add.reduceat(log_probabilities(p.value, ids, offsets, vectors, seconds), offsets[:-1]) / LN10)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(total))], names=["rid", "model"])
 
     model = rows.select("rid", "ids", "seen").mapInArrow(run, "rid bigint, model double")
