@@ -352,6 +352,31 @@ def test_log_probabilities_are_normalised():
         assert abs(total - 1) < 1e-9
 
 
+def test_log_probabilities_equal_the_plain_softmax():
+    rng = np.random.default_rng(1)
+    for first, k in ((3, 40), (400, 400)):  # many contexts with few first words, and first words of their own
+        p = {"R": rng.normal(size=(k, 4)), "Q": rng.normal(size=(30, 4)), "b": rng.normal(size=30), "C": rng.normal(size=(2, 4))}
+        ids, seen, offsets = rng.integers(0, 30, 3000), rng.integers(0, first, 3000), np.array([0, 1, 700, 3000])
+        one, two = language_model.contexts(seen, offsets)
+        x = (p["C"][0] * p["R"][one] + p["C"][1] * p["R"][two]) @ p["Q"].T + p["b"]
+        want = x[np.arange(3000), ids] - np.log(np.exp(x).sum(axis=1))
+        for seconds in (None, language_model._seconds(p)):
+            assert np.allclose(language_model.log_probabilities(p, ids, offsets, seen, seconds), want, atol=1e-9)
+
+
+def test_gradients_of_repeated_rows_are_summed():
+    rng = np.random.default_rng(2)
+    at = rng.integers(0, 20, 200)
+    for shape, of_gains in (((50, 3), (50, 3)), ((50, 3), (50, 1)), ((50,), (50,))):
+        into, gains, grad = rng.normal(size=shape).astype("f4"), np.ones(of_gains, "f4"), rng.normal(size=(200, *shape[1:])).astype("f4")
+        g = np.zeros(shape)
+        np.add.at(g, at, grad)
+        want_gains = gains + (g * g if of_gains == shape else (g * g).mean(axis=1, keepdims=True))
+        want = into - 0.3 * g / np.sqrt(want_gains)
+        language_model._add_rows(into, gains, language_model._distinct(at, np.empty(50, np.int64)), grad, 0.3)
+        assert np.allclose(into, want, atol=1e-4) and np.allclose(gains, want_gains, rtol=1e-4)
+
+
 def test_training_improves_on_the_unigram():
     rng = np.random.default_rng(5)
     ids = np.concatenate([np.append(np.tile([2, 3, 4], 20)[: rng.integers(10, 50)], 1) for _ in range(400)])
