@@ -14,8 +14,8 @@
 4. Connected components, written and reread between rounds.
 
 ``one_of_each`` does the same with the sets of five-word shingles behind the fingerprints: rows
-share a key if their sets can be similar, the bit-sliced comparison of 256 bits leaves candidates, and each
-is confirmed by the exact Jaccard similarity before it is a link.
+share a key if their sets can be similar, and the bit-sliced comparison of 256 bits connects candidates to groups.
+Each set goes to its group once, where the links are found by the exact Jaccard similarity.
 
 Buckets of more than ``CHUNK`` rows are dealt into chunks and every pair of
 chunks becomes a group of its own, so a hot bucket is neither cut short nor left
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import free, tidy
 from millrace.llm.components import components
-from millrace.llm.shingles import classed, confirmed, crowded, majority, shared_keys, shingle_hashes
+from millrace.llm.shingles import classed, common, confirmed, majority, shared_keys, shingle_hashes
 from millrace.plans.staging import cut, discard
 
 CHUNK = 8192
@@ -183,38 +183,29 @@ def _forest(f: np.ndarray, group: np.ndarray, radius: int, n: np.ndarray, simila
     return np.array(us, np.int64), np.array(vs, np.int64)
 
 
-def compared(rows: DataFrame, radius: int, similarity: float = 0.0, forest: bool = True) -> DataFrame:
-    """u, v: ids that share a key, whose fingerprints are within the radius and whose set sizes allow the similarity.
+def compared(rows: DataFrame, radius: int, similarity: float = 0.0) -> DataFrame:
+    """u, v: ids that share a key, whose fingerprints are within the radius and whose set sizes allow the similarity, enough to connect in each bucket what all would connect.
 
-    rows: key, id, f, n (size of the set), label.  With ``forest``, enough links to connect in each bucket what all would connect; else all links
-    between rows of different label.
+    rows: key, id, f, n (size of the set).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
 
-        def pairs(key: np.ndarray, f: np.ndarray, n: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            if forest:
-                yield _forest(f, key, radius, n, similarity)
-                return
-            for i, j in bit_sliced_pairs(f, key, radius, label):
-                ok = _sized(n, i, j, similarity)
-                yield i[ok], j[ok]
-
-        def solve(key: np.ndarray, ids: np.ndarray, f: np.ndarray, n: np.ndarray, label: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def solve(key: np.ndarray, ids: np.ndarray, f: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
             start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             size = np.repeat(np.diff(np.concatenate([start, [len(key)]])), np.diff(np.concatenate([start, [len(key)]])))
             for low, high in ((2, 16), (16, 128), (128, 1 << 62)):
                 own = np.flatnonzero((size >= low) & (size < high))
                 if len(own):
-                    for u, v in pairs(key[own], np.ascontiguousarray(f[own]), n[own], label[own]):
-                        if len(u):
-                            yield pa.RecordBatch.from_arrays([pa.array(ids[own][u]), pa.array(ids[own][v])], names=["u", "v"])
+                    u, v = _forest(np.ascontiguousarray(f[own]), key[own], radius, n[own], similarity)
+                    if len(u):
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[own][u]), pa.array(ids[own][v])], names=["u", "v"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1), batch.column(3).to_numpy(), batch.column(4).to_numpy()]
+            cols = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1), batch.column(3).to_numpy()]
             if held is not None:
                 cols = [np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)]
             last = int(np.searchsorted(cols[0], cols[0][-1]))  # the rows of the last key wait for the next batch
@@ -233,7 +224,7 @@ def compared(rows: DataFrame, radius: int, similarity: float = 0.0, forest: bool
             .withColumn("key", F.when(F.col("g").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("c", "other"), F.greatest("c", "other"))))
         )
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be coalesced
-    return rows.select("key", "id", "f", "n", "label").repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(tidy(run), "u bigint, v bigint")
+    return rows.select("key", "id", "f", "n").repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(tidy(run), "u bigint, v bigint")
 
 
 def links(classes: DataFrame, radius: int, masks: list[np.ndarray]) -> DataFrame:
@@ -253,7 +244,7 @@ def links(classes: DataFrame, radius: int, masks: list[np.ndarray]) -> DataFrame
                 ], names=["key", "id", "f"])
 
     rows = classes.select("id", "f").mapInArrow(tidy(keyed), "key bigint, id bigint, f array<bigint>")
-    return compared(rows.select("*", F.lit(0).alias("n"), F.col("id").alias("label")), radius)
+    return compared(rows.select("*", F.lit(0).alias("n")), radius)
 
 
 def grouped(prints: DataFrame, radius: int) -> DataFrame:
@@ -279,22 +270,16 @@ def radius_of(similarity: float, bits: int) -> int:
     return math.ceil(bits * share + 5 * math.sqrt(bits * share * (1 - share)))
 
 
-def similar(docs: DataFrame, classes: DataFrame, late: np.ndarray, shingle: int, similarity: float, bits: int) -> DataFrame:
+def similar(docs: DataFrame, classes: DataFrame, late: tuple[np.ndarray, np.ndarray], shingle: int, similarity: float, bits: int) -> DataFrame:
     """u, v: classes whose shingle sets have the similarity, enough to connect them all.
 
-    Fingerprints of rows that share a key are compared bit-sliced, and what is within the radius is confirmed by the exact similarity: first a
-    spanning forest of each bucket, then all pairs that aren't connected by that.
+    Fingerprints of rows that share a key are compared bit-sliced; what the candidates connect is a group, which all links of its classes are inside.
     """
-    rows, radius = shared_keys(docs, classes, shingle, similarity, late), radius_of(similarity, bits)
-    ordered = lambda found: cut(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    near = confirmed(docs, classes, ordered(compared(rows.withColumn("label", F.col("id")), radius, similarity)), shingle, similarity)
-    root = components(near)
-    placed = cut(rows.join(root, rows["id"] == root["u"], "left").select("key", "id", "f", "n", F.coalesce("v", "id").alias("label")))
+    rows = shared_keys(docs, classes, shingle, similarity, late)
+    near = components(compared(rows, radius_of(similarity, bits), similarity))
     discard(rows)
-    apart = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")  # buckets that are all connected are done
-    rest = confirmed(docs, classes, ordered(compared(placed.join(cut(apart), "key"), radius, similarity, forest=False)), shingle, similarity)
-    discard(placed)
-    return near.unionByName(rest)
+    groups = near.select(F.col("u").alias("c"), F.col("v").alias("g")).unionByName(near.select(F.col("v").alias("c"), F.col("v").alias("g")).distinct())
+    return confirmed(docs, classes, groups, shingle, similarity)
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits: int = 256) -> DataFrame:
@@ -303,9 +288,9 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits
     Null and blank texts have the empty set and are copies of each other.  Rows with a null id all stay.
     """
     rows = classed(docs, shingle, bits // 64)
-    prints = rows.where("counts is null").drop("counts")
+    prints = rows.where("often is null").drop("often", "times")
     classes = cut(prints.where("doc_id is not null").groupBy("c").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.min("f").alias("f")))
-    root = components(similar(docs, classes, crowded(rows), shingle, similarity, bits))
+    root = components(similar(docs, classes, common(rows), shingle, similarity, bits))
     d, n = free(docs, "d", "n")
     stay = classes.join(root, classes["c"] == root["u"], "left").groupBy(F.coalesce("v", "c").alias("g")).agg(F.min("id").alias(d)).select(d).distinct()
     counts = prints.groupBy("doc_id").agg(F.count(F.lit(1)).alias(n))

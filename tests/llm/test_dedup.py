@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from millrace.llm import components, passages, simhash
+from millrace.llm import components, passages, shingles, simhash
 
 
 def words(t):
@@ -183,6 +183,60 @@ def test_near_duplicates_equal_brute_force(spark):
     assert {r["doc_id"] for r in simhash.one_of_each(docs).collect()} == brute_smallest(texts)
 
 
+def near_copies(rng, group, words, changed):
+    """Texts that differ from one text in ``changed`` words each."""
+    base = [f"w{x}" for x in rng.integers(0, 1 << 40, words)]
+    texts = []
+    for k in range(group):
+        w = list(base)
+        for p in rng.choice(words, changed, replace=False):
+            w[p] = f"x{k}x{p}"
+        texts.append(" ".join(w))
+    return texts
+
+
+def test_a_large_group_of_near_copies_makes_no_pairs(spark, monkeypatch):
+    """No staged table grows with the square of the group, whether its pairs are links or not."""
+    rng, rows = np.random.default_rng(11), []
+    texts = list(enumerate(near_copies(rng, 300, 200, 4) + near_copies(rng, 100, 200, 1)))
+    for module in (simhash, shingles, components):
+        monkeypatch.setattr(module, "cut", lambda df, cut=module.cut: rows.append((df.columns, (out := cut(df)).count())) or out)
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+    got = {r["doc_id"] for r in simhash.one_of_each(docs).collect()}
+    assert got == brute_smallest(texts) and 200 < len(got) < 310
+    assert max(n for columns, n in rows if columns == ["u", "v"]) < 300 * 299 // 2 // 5
+
+
+def test_links_of_a_group_in_chunks_equal_brute_force(spark, monkeypatch):
+    """Sets dealt into pairs of chunks, and a large component that most sets are found in."""
+    monkeypatch.setattr(shingles, "GROUP", 1000)
+    rng = np.random.default_rng(12)
+    texts = list(enumerate(near_copies(rng, 40, 100, 2) + near_copies(rng, 30, 100, 1)))
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+    assert {r["doc_id"] for r in simhash.one_of_each(docs).collect()} == brute_smallest(texts)
+    sets = [shingles._set(t, 5) for _, t in texts]
+    root = list(range(len(sets)))
+    for i, js in shingles.linked(np.concatenate(sets), np.array([len(x) for x in sets]), 0.8):
+        for j in js:
+            old, new = sorted((root[i], root[j]), reverse=True)
+            assert old != new
+            root = [new if r == old else r for r in root]
+    assert set(root) == brute_smallest(texts)
+
+
+def test_shingles_that_many_texts_hold_are_no_keys(spark):
+    """A passage that a few hundred texts share doesn't make one bucket of them, however many other shingles there are."""
+    rng = np.random.default_rng(13)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    common = word(30)
+    docs = spark.createDataFrame([(k, " ".join(word(400) + common)) for k in range(600)], "doc_id bigint, text string").repartition(2)
+    rows = shingles.classed(docs, 5, 4)
+    classes = rows.where("often is null").select("c", "n", "f")
+    late = shingles.common(rows)
+    assert len(late[0]) == 26 and late[1].tolist() == [600] * 26
+    assert shingles.shared_keys(docs, classes, 5, 0.8, late).count() == 0
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100), (7, 7)], "u bigint, v bigint")
     got = {r["u"]: r["v"] for r in components.components(edges).collect()}
