@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A word is a run of characters other than the ASCII white space 0x20, 0x09-0x0D.
 GAP = r"[\x20\x09-\x0D]+"
+#: Ids that go to the tasks that read a table.
+FEW = 1 << 22
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -46,6 +48,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """``docs`` joined (left_semi or left_anti) with the ids of a staged frame's one column; up to ``FEW`` ids go to the texts, whatever the session broadcasts, not the texts to the ids."""
+    id_ = ids.columns[0]
+    few = ids.count() <= FEW
+    return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col(id_), how)
+
+
 def free(df: DataFrame, *names: str) -> list[str]:
     """A name like each of ``names`` that no column of ``df`` has."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import tidy
+from millrace.llm.common import by_ids, tidy
 from millrace.llm.rolling import mixed
 from millrace.plans.staging import cut
 
@@ -257,5 +257,6 @@ def confirmed(docs: DataFrame, classes: DataFrame, groups: DataFrame, shingle: i
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select("doc_id", "text").join(used, F.col("doc_id") == F.col("_d")).select("text", "c", "g").mapInArrow(tidy(sets), "g bigint, c bigint, h array<bigint>")
+    texts = by_ids(docs.select("doc_id", "text"), used.select("_d"), "left_semi")
+    rows = texts.join(used, F.col("doc_id") == F.col("_d")).select("text", "c", "g").mapInArrow(tidy(sets), "g bigint, c bigint, h array<bigint>")
     return cut(rows.repartition(tasks, "g").sortWithinPartitions("g", "c").mapInArrow(tidy(run), "u bigint, v bigint"))

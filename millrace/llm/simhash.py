@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import free, tidy
+from millrace.llm.common import by_ids, free, tidy
 from millrace.llm.components import components
 from millrace.llm.shingles import classed, common, confirmed, majority, shared_keys, shingle_hashes
 from millrace.plans.staging import cut, discard
@@ -294,7 +294,8 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits
     d, n = free(docs, "d", "n")
     stay = classes.join(root, classes["c"] == root["u"], "left").groupBy(F.coalesce("v", "c").alias("g")).agg(F.min("id").alias(d)).select(d).distinct()
     counts = prints.groupBy("doc_id").agg(F.count(F.lit(1)).alias(n))
-    kept = docs.join(cut(stay), F.col("doc_id") == F.col(d), "left_semi")
+    gone = cut(counts.where("doc_id is not null").select(F.col("doc_id").alias(d)).join(stay, d, "left_anti"))
+    kept = by_ids(docs.where(F.col("doc_id").isNotNull()), gone, "left_anti")
     repeated = counts.where(F.col("doc_id").isNotNull() & (F.col(n) > 1)).select(F.col("doc_id").alias(d))
     if not repeated.isEmpty():
         same = F.col("doc_id") == F.col(d)

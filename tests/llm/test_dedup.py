@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from millrace.llm import components, passages, shingles, simhash
+from millrace.llm import common, components, passages, shingles, simhash
 
 
 def words(t):
@@ -228,8 +228,8 @@ def test_shingles_that_many_texts_hold_are_no_keys(spark):
     """A passage that a few hundred texts share doesn't make one bucket of them, however many other shingles there are."""
     rng = np.random.default_rng(13)
     word = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
-    common = word(30)
-    docs = spark.createDataFrame([(k, " ".join(word(400) + common)) for k in range(600)], "doc_id bigint, text string").repartition(2)
+    passage = word(30)
+    docs = spark.createDataFrame([(k, " ".join(word(400) + passage)) for k in range(600)], "doc_id bigint, text string").repartition(2)
     rows = shingles.classed(docs, 5, 4)
     classes = rows.where("often is null").select("c", "n", "f")
     late = shingles.common(rows)
@@ -237,6 +237,24 @@ def test_shingles_that_many_texts_hold_are_no_keys(spark):
     assert shingles.shared_keys(docs, classes, 5, 0.8, late).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 1 << 22])
+def test_texts_that_stay_do_not_move(spark, monkeypatch, few):
+    """The result is the same either way; with few ids to go no text that stays is shuffled, whatever the session broadcasts."""
+    monkeypatch.setattr(common, "FEW", few)
+    rng = np.random.default_rng(14)
+    texts = list(enumerate(near_copies(rng, 40, 100, 1) + [f"u{k} v{k}" for k in range(40)]))
+    docs = spark.createDataFrame([*texts, (None, "of no id")], "doc_id bigint, text string").repartition(3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = simhash.one_of_each(docs)
+        ids = [r["doc_id"] for r in got.collect()]
+        plan = got._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert set(ids) == brute_smallest(texts) | {None} and len(ids) == len(set(ids))
+    assert ("SortMergeJoin" in plan) == (few == 0)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100), (7, 7)], "u bigint, v bigint")
     got = {r["u"]: r["v"] for r in components.components(edges).collect()}
