@@ -15,7 +15,8 @@ with the sums of AdaGrad), so what the model gathers grows with the corpus and t
 * Training: ``rounds`` passes over parts of all training texts.  Each task does NCE with shared noise samples on its
   own rows, starting from the same parameters, and the tasks' parameters are averaged in a tree, 8 at a time.
 * Scoring: a context is a sum, so the exponential of its score is a product with one factor for each of its two words.
-  Batched matrix products give the factors of a batch's distinct words, the rows' inner products the exact normalisers.
+  Contexts are dealt into blocks by their words; a block with many of them gets its exact normalisers by one matrix
+  product, the contexts of other blocks by inner products.
 
 Defined results: null text has the end token only; a null id is held out by the checksum of the empty text; repeated
 rows count and score each for itself; without training rows counts are zero and the model is uniform over its classes.
@@ -25,50 +26,61 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import crc32_mod
+from millrace.llm.common import crc32_mod, tidy
 from millrace.plans.staging import cut
 
 HEAD, LONGEST = 1 << 19, 64
-#: Distinct words that a counting task holds before it passes them on.
-HELD = 400_000
 #: Context vectors at most, and how many sets of parameters a task averages.
 MOST, FAN = 1 << 18, 8
 END = 1
 LN10 = math.log(10)
 
 
-def _tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()  # bytes: only A-Z change, only ASCII white space parts words
+def _parts(texts: pa.Array, size: int = 1 << 22) -> Iterator[tuple[int, int]]:
+    """Begin and end of runs of texts of up to ``size`` bytes (or one text)."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a, done = 0, 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, done + size, "right")))
+        yield a, b
+        a, done = b, int(ends[b - 1])
+
+
+def _tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of some texts, which of them each token is, and where each text's tokens begin and end."""
+    lower = pc.ascii_lower(pc.fill_null(texts, ""))  # only A-Z change, only ASCII white space parts words
+    split = pc.ascii_split_whitespace(lower)
+    found = split.flatten().dictionary_encode()
+    which, bounds = found.indices.to_numpy(), split.offsets.to_numpy().astype(np.int64)
+    none = pc.index(found.dictionary, "").as_py()  # at the ends of a text
+    if none >= 0:
+        full = which != none
+        bounds = np.concatenate([[0], np.cumsum(full)])[bounds - bounds[0]]
+        which = which[full]
+    return found.dictionary, which, bounds - bounds[0]
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """word, c: how often each word occurs in all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            words, n = list(held), np.fromiter(held.values(), np.int64, len(held))
-            for a in range(0, len(words), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in words[a : a + 50_000]], pa.string()), pa.array(n[a : a + 50_000])], names=["word", "c"])
-            held.clear()
-
         for batch in batches:
-            for text in batch.column(0):
-                held.update(_tokens(text.as_py()))
-                if len(held) > HELD:
-                    yield from flush()
-        yield from flush()
+            for a, b in _parts(batch.column(0)):
+                words, which, _ = _tokens(batch.column(0).slice(a, b - a))
+                n = np.bincount(which, minlength=len(words))
+                found = pa.RecordBatch.from_arrays([words, pa.array(n)], names=["word", "c"]).filter(pa.array(n > 0))
+                for c in range(0, len(found), 50_000):
+                    yield found.slice(c, 50_000)
 
     return docs.select("text").mapInArrow(run, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -136,30 +148,33 @@ def encoded(docs: DataFrame, look: Lookup) -> DataFrame:
         in_group[look.grouped] = True
         rid = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
-                ids, seen, tails, cols = [], [], [], []
-                for text in part.column(2):
-                    words = _tokens(text.as_py())
-                    place = np.fromiter(map(find, words, repeat(-1)), np.int64, len(words))
-                    own, vector, log = look.class_of[place], look.vector_of[place], look.log_of[place]
-                    out = np.flatnonzero(place < 0)
-                    rest = [words[i] for i in out]
-                    tails.append([w.decode() for w in rest])
-                    own[out], vector[out] = look.rarer(np.fromiter(map(zlib.crc32, rest), np.int64, len(rest)))
-                    rare = in_group[own]
-                    ids.append(np.append(own, END).astype(np.int16))
-                    seen.append(np.append(vector, END).astype(np.int32))
-                    cols.append((len(words) + 1, len(words) - len(out) + end_known, log.sum() + end_log, log[rare].sum() - look.shares[own].sum()))
-                c = list(zip(*cols, strict=True))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.arange(rid, rid + part.num_rows)), part.column(0), part.column(1), pa.array(ids, pa.list_(pa.int16())), pa.array(seen, pa.list_(pa.int32())),
-                    *(pa.array(x, pa.int64() if k < 2 else pa.float64()) for k, x in enumerate(c)), pa.array(tails, pa.list_(pa.string())),
+            for a, b in _parts(batch.column(2)):
+                words, which, bounds = _tokens(batch.column(2).slice(a, b - a))
+                of_words = words.cast(pa.binary()).to_pylist()
+                place = np.fromiter(map(find, of_words, repeat(-1)), np.int64, len(of_words))
+                own, vector, log = look.class_of[place], look.vector_of[place], look.log_of[place]
+                out = np.flatnonzero(place < 0)
+                own[out], vector[out] = look.rarer(np.fromiter((zlib.crc32(of_words[i]) for i in out), np.int64, len(out)))
+                rare = log * in_group[own] - look.shares[own]
+                text, beyond = np.repeat(np.arange(b - a), np.diff(bounds)), (place < 0)[which]
+                n, tails = np.diff(bounds), np.bincount(text[beyond], minlength=b - a)
+                cols = n + 1, n - tails + end_known, np.bincount(text, log[which], b - a) + end_log, np.bincount(text, rare[which], b - a)
+                with_end = np.arange(len(which)) + text
+                ids, seen = np.full(len(which) + b - a, END, np.int16), np.full(len(which) + b - a, END, np.int32)
+                ids[with_end], seen[with_end] = own[which], vector[which]
+                lists = lambda ends, values: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
+                found = pa.RecordBatch.from_arrays([
+                    pa.array(np.arange(rid + a, rid + b)), batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a),
+                    lists(bounds + np.arange(b - a + 1), pa.array(ids)), lists(bounds + np.arange(b - a + 1), pa.array(seen)),
+                    *(pa.array(x, pa.int64() if k < 2 else pa.float64()) for k, x in enumerate(cols)),
+                    lists(np.concatenate([[0], np.cumsum(tails)]), words.take(pa.array(which[beyond]))),
                 ], names=["rid", "doc_id", "held_out", "ids", "seen", "tokens", "known", "head_log", "rare_log", "tail"])
-                rid += part.num_rows
+                for c in range(0, len(found), 512):
+                    yield found.slice(c, 512)
+            rid += batch.num_rows
 
     kind = dict(docs.dtypes)["doc_id"]
-    return cut(docs.select("doc_id", "held_out", "text").mapInArrow(run, f"rid bigint, doc_id {kind}, held_out boolean, ids array<smallint>, seen array<int>, tokens bigint, known bigint, head_log double, rare_log double, tail array<string>"))
+    return cut(docs.select("doc_id", "held_out", "text").mapInArrow(tidy(run), f"rid bigint, doc_id {kind}, held_out boolean, ids array<smallint>, seen array<int>, tokens bigint, known bigint, head_log double, rare_log double, tail array<string>"))
 
 
 def start(look: Lookup, size: int = 32, seed: int = 7, vectors: int = 0) -> dict[str, np.ndarray]:
@@ -184,25 +199,28 @@ def contexts(seen: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return one, two
 
 
-def _distinct(at: np.ndarray, scratch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct values of ``at``, and which of them each one is; ``scratch`` is overwritten at ``at``."""
+def _distinct(at: np.ndarray, scratch: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct values of ``at``, a place of each, the other places, and which values these hold; ``scratch`` is overwritten at ``at``."""
     n = np.arange(len(at))
     scratch[at] = n
-    rows = at[scratch[at] == n]
-    scratch[rows] = np.arange(len(rows))
-    return rows, scratch[at]
+    last = scratch[at] == n
+    own, again = np.flatnonzero(last), np.flatnonzero(~last)
+    rows = at[own]
+    scratch[rows] = n[: len(rows)]
+    return rows, own, again, scratch[at[again]]
 
 
-def _add_rows(into: np.ndarray, gains: np.ndarray, distinct: tuple[np.ndarray, np.ndarray], grad: np.ndarray, rate: float) -> None:
+def _add_rows(into: np.ndarray, gains: np.ndarray, distinct: tuple[np.ndarray, ...], grad: np.ndarray, rate: float) -> None:
     """An AdaGrad step on the rows of ``distinct``, whose gradients are summed first."""
-    rows, which = distinct
+    rows, own, again, which = distinct
+    g = grad.take(own, axis=0).astype(into.dtype, copy=False)
     if into.ndim == 1:
-        g = np.bincount(which, grad, len(rows)).astype(into.dtype)
+        np.add.at(g, which, grad[again])
         found = gains[rows] + g * g
     else:
         width = into.shape[1]
         places = (which * width)[:, None] + np.arange(width)
-        g = np.bincount(places.ravel(), grad.ravel(), len(rows) * width).astype(into.dtype).reshape(-1, width)
+        np.add.at(g.reshape(-1), places.ravel(), grad.take(again, axis=0).ravel())  # repeated rows only; flat, as that is numpy's fast way
         square = g * g if gains.shape == into.shape else np.einsum("ij,ij->i", g, g)[:, None] / np.float32(width)
         found = gains.take(rows, axis=0) + square
     gains[rows] = found
@@ -229,12 +247,20 @@ def nce(p: dict[str, np.ndarray], batches: Iterator[tuple[np.ndarray, ...]], uni
             c = p["C"]
             r = c[0] * r1 + c[1] * r2
             data = 1 / (1 + np.exp(-(np.einsum("ij,ij->i", r, q) + p["b"][w] - log_noise[w]))) - 1
-            fake = 1 / (1 + np.exp(-(r @ qs.T + p["b"][s] - log_noise[s])))
+            fake = r @ -qs.T
+            fake -= p["b"][s] - log_noise[s]
+            np.exp(fake, out=fake)
+            fake += 1
+            np.reciprocal(fake, out=fake)
             dr = data[:, None] * q + fake @ qs
             targets = _distinct(np.concatenate([w, s]), by_class)
-            _add_rows(p["Q"], gains["Q"], targets, np.concatenate([data[:, None] * r, fake.T @ r]), rate)
+            of_targets, of_contexts = np.empty((len(w) + noise, q.shape[1]), r.dtype), np.empty((2, *r.shape), r.dtype)
+            np.multiply(data[:, None], r, out=of_targets[: len(w)])
+            np.matmul(fake.T, r, out=of_targets[len(w) :])
+            np.multiply(dr, c[:, None], out=of_contexts)
+            _add_rows(p["Q"], gains["Q"], targets, of_targets, rate)
             _add_rows(p["b"], gains["b"], targets, np.concatenate([data, fake.sum(axis=0)]), rate)
-            _add_rows(p["R"], gains["R"], _distinct(np.concatenate([w1, w2]), by_vector), np.concatenate([dr * c[0], dr * c[1]]), rate)
+            _add_rows(p["R"], gains["R"], _distinct(np.concatenate([w1, w2]), by_vector), of_contexts.reshape(-1, r.shape[1]), rate)
             dc = np.stack([np.einsum("ij,ij->j", dr, r1), np.einsum("ij,ij->j", dr, r2)])
             gains["C"] += dc * dc
             p["C"] = c - 0.03 * rate * dc / np.sqrt(gains["C"])
@@ -242,14 +268,14 @@ def nce(p: dict[str, np.ndarray], batches: Iterator[tuple[np.ndarray, ...]], uni
     return seen
 
 
-def _flat(column: pa.ListArray, seen: pa.ListArray, slice_words: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _flat(column: pa.ListArray, seen: pa.ListArray, slice_words: int = 1 << 19, kind: type = np.int64) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Flat ids, offsets and context vectors of some texts after the others; both columns have lists of the same lengths."""
     offsets, others = column.offsets.to_numpy().astype(np.int64), seen.offsets.to_numpy().astype(np.int64)
     flat, vectors = column.values.to_numpy(zero_copy_only=False), seen.values.to_numpy(zero_copy_only=False)
     a = 0
     while a < len(column):
         b = max(a + 1, min(len(column), int(np.searchsorted(offsets, offsets[a] + slice_words, "right")) - 1))
-        yield flat[offsets[a] : offsets[b]].astype(np.int64), offsets[a : b + 1] - offsets[a], vectors[others[a] : others[b]].astype(np.int64)
+        yield flat[offsets[a] : offsets[b]].astype(kind), offsets[a : b + 1] - offsets[a], vectors[others[a] : others[b]].astype(kind)
         a = b
 
 
@@ -299,8 +325,8 @@ def _factors(r: np.ndarray, q: np.ndarray, bias: np.ndarray | float) -> tuple[np
     return np.exp(x, out=x), top
 
 
-#: Words whose factors are held at once.
-FACTORS = 1 << 15
+#: Words whose factors are held at once; first and second words of a block of contexts; what a context by itself costs, in those of a block.
+FACTORS, FIRSTS, SECONDS, ALONE = 1 << 15, 256, 512, 24
 
 
 def _seconds(p: dict[str, np.ndarray], words: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
@@ -308,50 +334,63 @@ def _seconds(p: dict[str, np.ndarray], words: np.ndarray | slice = slice(None))
     return _factors(p["C"][1] * p["R"][words], p["Q"], 0)
 
 
-def _normalisers(p: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray, seconds: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-    """The log of the summed exponentials over all classes for contexts sorted by ``one``; ``seconds``: the factors of all vectors, if at hand."""
-    out = np.empty(len(one))
-    step = FACTORS if seconds is None else max(1, len(one))
-    for a in range(0, len(one), step):
-        o, t = one[a : a + step], two[a : a + step]
-        if seconds is None:
-            words, at = np.unique(t, return_inverse=True)
-            right, right_top = _seconds(p, words)
+def _products(left: np.ndarray, right: np.ndarray, one: np.ndarray, two: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The inner product left[one] . right[two] of each context; ``edges``: where the contexts of each ``SECONDS`` rows of ``right`` begin and end."""
+    total, alone = np.empty(len(one), right.dtype), []
+    for j, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        block = right[j * SECONDS : (j + 1) * SECONDS]
+        if (b - a) * ALONE > len(left) * len(block):  # one product for all pairs of words
+            total[a:b] = (left @ block.T).ravel().take(one[a:b] * len(block) + two[a:b] - j * SECONDS)
+        elif b > a:
+            alone.append(np.arange(a, b))
+    if alone:
+        at = np.concatenate(alone)
+        pair, back = np.unique(one[at] * len(right) + two[at], return_inverse=True)
+        first, second = np.divmod(pair, len(right))
+        found, begin = np.empty(len(pair), right.dtype), np.flatnonzero(np.diff(first, prepend=-1))
+        if len(pair) >= 16 * len(begin):  # a product for each first word
+            for a, b in zip(begin, [*begin[1:], len(pair)], strict=True):
+                for c in range(a, b, 512):
+                    found[c : min(b, c + 512)] = right.take(second[c : min(b, c + 512)], axis=0) @ left[first[a]]
         else:
-            at, (right, right_top) = t, seconds
-        for c in range(0, len(o), 512):
-            part, to = o[c : c + 512], at[c : c + 512]
-            first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            own, back = part[first], np.repeat(np.arange(len(first)), np.diff(first, append=len(part)))
-            left, left_top = _factors(p["C"][0] * p["R"][own], p["Q"], p["b"])
-            both = right.take(to, axis=0)
-            if len(first) < 64:  # a product for each first word, else one for all
-                total = np.concatenate([both[x:y] @ left[j] for j, (x, y) in enumerate(zip(first, [*first[1:], len(part)], strict=True))])
-            else:
-                total = np.einsum("ij,ij->i", left[back], both)
-            found = np.log(np.maximum(total, 1e-20)) + left_top[back] + right_top[to]
-            low = np.flatnonzero(total < 1e-20)  # the two words favour classes so different that the products vanish
-            if len(low):
-                r = p["C"][0] * p["R"][o[c + low]] + p["C"][1] * p["R"][t[c + low]]
-                whole, top = _factors(r, p["Q"], p["b"])
-                found[low] = np.log(whole.sum(axis=1)) + top
-            out[a + c : a + c + 512] = found
-    return out
+            for c in range(0, len(pair), 512):
+                found[c : c + 512] = np.einsum("ij,ij->i", left.take(first[c : c + 512], axis=0), right.take(second[c : c + 512], axis=0))
+        total[at] = found[back]
+    return total
 
 
 def log_probabilities(p: dict[str, np.ndarray], ids: np.ndarray, offsets: np.ndarray, vectors: np.ndarray | None = None, seconds: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-    """The natural log probability of each token's class, normalised over all classes; contexts are ``vectors`` (left out: the ids)."""
+    """The natural log probability of each token's class, normalised over all classes; contexts are ``vectors`` (left out: the ids), ``seconds`` the factors of all vectors, if at hand."""
     one, two = contexts(ids if vectors is None else vectors, offsets)
-    k = len(p["R"])
-    pair, back = np.unique(one * k + two, return_inverse=True)
+    k, classes = len(p["R"]), len(p["Q"])
     out = np.empty(len(ids))
-    first, second = pair // k, pair % k
-    norm = _normalisers(p, first, second, seconds)
-    r = p["C"][0] * p["R"][first] + p["C"][1] * p["R"][second]
-    for a in range(0, len(ids), 1 << 16):
-        own = back[a : a + (1 << 16)]
-        w = ids[a : a + (1 << 16)]
-        out[a : a + (1 << 16)] = np.einsum("ij,ij->i", r.take(own, axis=0), p["Q"].take(w, axis=0)) + p["b"][w] - norm[own]
+    down, across = -(-k // FIRSTS), -(-min(k, FACTORS) // SECONDS)
+    blocks = -(-k // FACTORS) * down * across
+    block = ((two // FACTORS * down + one // FIRSTS) * across + two % FACTORS // SECONDS).astype(np.uint16 if blocks <= 1 << 16 else np.int64)
+    order = np.argsort(block, kind="stable")  # 16 bits are sorted by counting
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(block, minlength=blocks))])
+    for h in range(0, k, FACTORS):
+        right = None
+        for i in range(down):
+            place = (h // FACTORS * down + i) * across
+            edges = bounds[place : place + across + 1]
+            at = order[edges[0] : edges[-1]]
+            if not len(at):
+                continue
+            if right is None:
+                right = _seconds(p, slice(h, h + FACTORS))[0] if seconds is None else seconds[0][h : h + FACTORS]
+            left = _factors(p["C"][0] * p["R"][i * FIRSTS : (i + 1) * FIRSTS], p["Q"], p["b"])[0]
+            o, t, w = one[at].astype(np.int64) - i * FIRSTS, two[at].astype(np.int64) - h, ids[at].astype(np.int64)
+            total = _products(left, right, o, t, edges - edges[0])
+            own = left.ravel().take(o * classes + w) * right.ravel().take(t * classes + w)
+            found = np.log(np.maximum(own, 1e-30).astype(float)) - np.log(np.maximum(total, 1e-20).astype(float))
+            low = np.flatnonzero((total < 1e-20) | (own < 1e-30))  # the products vanish: the words favour classes too different
+            for c in range(0, len(low), 512):
+                n = low[c : c + 512]
+                x = (p["C"][0] * p["R"][one[at[n]]] + p["C"][1] * p["R"][two[at[n]]]) @ p["Q"].T + p["b"]
+                x -= x.max(axis=1)[:, None]
+                found[n] = x[np.arange(len(n)), w[n]] - np.log(np.exp(x).sum(axis=1))
+            out[at] = found
     return out
 
 
@@ -370,11 +409,11 @@ def scored(docs: DataFrame, classes: int = 1024, groups: int = 256, folds: int =
             if seconds is None and len(p.value["R"]) <= FACTORS:
                 seconds = _seconds(p.value)  # once a task
             total = [np.empty(0)]
-            for ids, offsets, vectors in _flat(batch.column(1), batch.column(2)):
+            for ids, offsets, vectors in _flat(batch.column(1), batch.column(2), 1 << 20, np.int32):
                 total.append(np.add.reduceat(log_probabilities(p.value, ids, offsets, vectors, seconds), offsets[:-1]) / LN10)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(total))], names=["rid", "model"])
 
-    model = rows.select("rid", "ids", "seen").mapInArrow(run, "rid bigint, model double")
+    model = rows.select("rid", "ids", "seen").mapInArrow(tidy(run), "rid bigint, model double")
     tail = (
         rows.select("rid", F.explode("tail").alias("word")).join(vocab, "word")
         .groupBy("rid").agg(F.sum(F.log10(F.col("c") + 1)).alias("tail_log"), F.count(F.lit(1)).alias("tail_known"))

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -364,6 +365,52 @@ def test_log_probabilities_equal_the_plain_softmax():
             assert np.allclose(language_model.log_probabilities(p, ids, offsets, seen, seconds), want, atol=1e-9)
 
 
+def test_log_probabilities_by_blocks_equal_the_plain_softmax(monkeypatch):
+    for name, value in (("FIRSTS", 8), ("SECONDS", 4), ("FACTORS", 12)):
+        monkeypatch.setattr(language_model, name, value)
+    rng = np.random.default_rng(3)
+    for scale, dtype, close in ((1, float, 1e-9), (40, float, 1e-7), (1, "f4", 1e-4)):  # at 40 the products of some contexts vanish
+        p = {"R": scale * rng.normal(size=(50, 4)), "Q": rng.normal(size=(30, 4)), "b": rng.normal(size=30), "C": rng.normal(size=(2, 4))}
+        p = {k: x.astype(dtype) for k, x in p.items()}
+        ids, seen, offsets = rng.integers(0, 30, 4000), (50 * rng.random(4000) ** 3).astype("i4"), np.array([0, 1, 900, 4000])
+        one, two = language_model.contexts(seen, offsets)
+        x = ((p["C"][0] * p["R"][one] + p["C"][1] * p["R"][two]) @ p["Q"].T + p["b"]).astype(float)
+        x -= x.max(axis=1)[:, None]
+        want = x[np.arange(4000), ids] - np.log(np.exp(x).sum(axis=1))
+        for alone in (0, 3, 1 << 30):  # every context by itself, some of them, none
+            monkeypatch.setattr(language_model, "ALONE", alone)
+            for seconds in (None, language_model._seconds(p)):
+                assert np.allclose(language_model.log_probabilities(p, ids, offsets, seen, seconds), want, rtol=1e-6, atol=close)
+
+
+def test_a_block_of_many_contexts_copies_no_rows():
+    class Rows(np.ndarray):
+        def take(self, *args, axis=None, **more):
+            assert axis is None
+            return super().take(*args, **more)
+
+    rng = np.random.default_rng(4)
+    left, right = rng.random((20, 6)).view(Rows), rng.random((30, 6)).view(Rows)
+    one, two = rng.integers(0, 20, 5000), rng.integers(0, 30, 5000)
+    got = language_model._products(left, right, one, two, np.array([0, 5000]))
+    assert np.allclose(got, (np.asarray(left) @ np.asarray(right).T)[one, two])
+
+
+def test_tokens_of_the_language_model():
+    rng = random.Random(6)
+    signs = [*"aAzZ \t\n\x0b\x0c\r\x1c\x1f\x85\xa0éÉİßK\u3000\x00"]
+    texts = [None, "", " ", "a", *("".join(rng.choices(signs, k=rng.randrange(40))) for _ in range(400))]
+    column = pa.array([*texts, "cut off"], pa.string()).slice(0, len(texts))
+    runs = list(language_model._parts(column, 300))
+    assert [a for a, _ in runs[1:]] == [b for _, b in runs[:-1]] and (runs[0][0], runs[-1][1]) == (0, len(texts)) and len(runs) > 5
+    for a, b in runs:
+        words, which, bounds = language_model._tokens(column.slice(a, b - a))
+        found = words.to_pylist()
+        assert len(set(found)) == len(found)  # each word is looked up once
+        for i in range(a, b):
+            assert [found[k].encode() for k in which[bounds[i - a] : bounds[i - a + 1]]] == (texts[i] or "").encode().lower().split()
+
+
 def test_gradients_of_repeated_rows_are_summed():
     rng = np.random.default_rng(2)
     at = rng.integers(0, 20, 200)
