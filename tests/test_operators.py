@@ -43,6 +43,27 @@ def test_null_keys_group_and_join(spark, pairs):
         joins.join(pairs, pairs, "key")
 
 
+def test_products_of_large_keys_are_dealt_over_the_tasks(spark):
+    keys = "CASE WHEN id < {0} THEN NULL WHEN id < {0} + 900 THEN -1L WHEN id % 2 = {1} THEN id + {2} ELSE id END"
+    left = spark.range(4000).selectExpr("id AS a", keys.format(1500, 0, 10_000) + " AS key").unionByName(spark.range(1000).selectExpr("7 AS a", "-2L AS key"))
+    right = spark.range(3000).selectExpr("id AS b", keys.format(700, 1, 20_000) + " AS key").unionByName(spark.range(1000).selectExpr("8 AS b", "-2L AS key"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    seen = ["key", "count(1)", "count(a)", "count(b)", "sum(a)", "sum(b)"]
+    count = lambda df: sorted(map(tuple, df.groupBy("key").agg(*map(F.expr, seen[1:])).collect()), key=repr)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for how in ("inner", "left", "right", "full"):
+            got = joins.join(left, right, "key", how)
+            assert got.columns == ["key", "a", "b"]
+            assert count(got) == count(joins.join(left, right, "key", how, deal=False)), how
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        made = joins.join_full(left, right, "key").where("key IS NULL").groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in made) == 1500 * 700 and len(made) > 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_cogroup_keeps_all_keys_and_null_values(spark, pairs):
     other = spark.createDataFrame([("a", "p"), ("q", None)], "key string, name string")
     got = {r["key"]: (len(r["left"]), len(r["right"])) for r in joins.cogroup("key", left=pairs, right=other).collect()}
