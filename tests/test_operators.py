@@ -64,6 +64,19 @@ def test_products_of_large_keys_are_dealt_over_the_tasks(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
 
 
+def test_right_join_deals_the_product_of_nulls_over_the_tasks(spark):
+    left, right = (spark.range(2000).selectExpr(f"id AS {c}", "IF(id < 1200, NULL, id) AS key") for c in "ab")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # or so few bytes come to one task
+    try:
+        made = joins.join_right(left, right, "key").where("key IS NULL").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(r["count"] for r in made) == 1200 * 1200 and len(made) > 1
+
+
 def test_cogroup_keeps_all_keys_and_null_values(spark, pairs):
     other = spark.createDataFrame([("a", "p"), ("q", None)], "key string, name string")
     got = {r["key"]: (len(r["left"]), len(r["right"])) for r in joins.cogroup("key", left=pairs, right=other).collect()}
