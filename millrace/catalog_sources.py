@@ -28,7 +28,7 @@ ROWS_SQL = """SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN
 
 def _rows(t: Tables) -> DataFrame:
     name = F.expr("""CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 7 = 1 THEN c_name || ', "x" <y> & é' ELSE c_name END""")
-    return t.customer.select(F.col("c_custkey").alias("id"), name.alias("name"), F.col("c_acctbal").alias("value")).repartition(3)
+    return t.customer.select(F.col("c_custkey").alias("id"), name.alias("name"), F.col("c_acctbal").alias("value")).repartition(max(3, t.spark.sparkContext.defaultParallelism))
 
 
 Write, Read = Callable[..., int], Callable[..., DataFrame]

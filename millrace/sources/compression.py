@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import bz2
 import gzip
+import io
 import lzma
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import BinaryIO
 
 
 @dataclass(frozen=True)
@@ -16,6 +18,10 @@ class Codec:
     magic: bytes
     compress: Callable[[bytes], bytes]
     decompress: Callable[[bytes], bytes]
+    #: A file of the plain bytes, read piece by piece.
+    open: Callable[[BinaryIO], BinaryIO] | None = None
+    #: Whether what is compressed piece by piece may be joined to one file.
+    joins: bool = False
 
 
 def _zstd_compress(raw: bytes) -> bytes:
@@ -30,12 +36,18 @@ def _zstd_decompress(raw: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompressobj(read_across_frames=True).decompress(raw)
 
 
+def _zstd_open(f: BinaryIO) -> BinaryIO:
+    import zstandard
+
+    return io.BufferedReader(zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True))
+
+
 #: Fixed values of the formats: extensions and first bytes.
 CODECS: list[Codec] = [
-    Codec("gzip", (".gz", ".gzip"), b"\x1f\x8b", gzip.compress, gzip.decompress),
-    Codec("zstd", (".zst", ".zstd"), b"\x28\xb5\x2f\xfd", _zstd_compress, _zstd_decompress),
-    Codec("bzip2", (".bz2", ".bzip2"), b"BZ", bz2.compress, bz2.decompress),
-    Codec("xz", (".xz",), b"\xfd7zXZ\x00", lzma.compress, lzma.decompress),
+    Codec("gzip", (".gz", ".gzip"), b"\x1f\x8b", gzip.compress, gzip.decompress, gzip.open, True),
+    Codec("zstd", (".zst", ".zstd"), b"\x28\xb5\x2f\xfd", _zstd_compress, _zstd_decompress, _zstd_open, True),
+    Codec("bzip2", (".bz2", ".bzip2"), b"BZ", bz2.compress, bz2.decompress, bz2.open, True),
+    Codec("xz", (".xz",), b"\xfd7zXZ\x00", lzma.compress, lzma.decompress, lzma.open, True),
 ]
 
 
@@ -56,3 +68,11 @@ def detect(path: str, head: bytes) -> Codec | None:
 def plain(path: str, raw: bytes) -> bytes:
     codec = detect(path, raw[:16])
     return codec.decompress(raw) if codec else raw
+
+
+def chunks(path: str, raw: bytes, size: int) -> Iterator[bytes]:
+    """The plain bytes in pieces of about ``size`` that end with a line."""
+    codec = detect(path, raw[:16])
+    f = codec.open(io.BytesIO(raw)) if codec and codec.open else io.BytesIO(codec.decompress(raw) if codec else raw)
+    while piece := f.read(size):
+        yield piece + f.readline()

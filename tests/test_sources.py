@@ -39,6 +39,33 @@ def test_round_trips(spark, frame, tmp_path, single):
             assert (tmp_path / "deep" / name).is_file()
 
 
+def test_all_tasks_take_part_in_single_files(spark, tmp_path, monkeypatch):
+    rows = spark.range(60_000, numPartitions=4).selectExpr("id", "concat('é', id) AS name", "id / 2 AS value")
+    want = [(i, f"é{i}", i / 2) for i in range(60_000)]
+    for name, write, read in (
+        ("a.jsonl.xz", files.write_lines, files.read_jsonl), ("a.jsonl.zst", files.write_lines, files.read_jsonl), ("a.msgpack", files.write_msgpack, files.read_msgpack),
+        ("a.avro", lambda d, p, single: files.write_avro(d, p, AVRO, single), files.read_avro), ("a.avro.gz", lambda d, p, single: files.write_avro(d, p, AVRO, single), files.read_avro),
+    ):
+        path = str(tmp_path / name)
+        assert write(rows, path, single=True) == 60_000
+        assert list(map(tuple, read(spark, path, SCHEMA).collect())) == want, name
+    raw, streams = (tmp_path / "a.jsonl.xz").read_bytes(), 0
+    while raw:  # a stream from each partition
+        part = lzma.LZMADecompressor()
+        part.decompress(raw)
+        raw, streams = part.unused_data, streams + 1
+    assert streams == 4
+    assert len(list(avro.read((tmp_path / "a.avro").read_bytes()))) == 60_000
+    assert files.write_avro(rows.where("id < 0"), str(tmp_path / "none.avro"), AVRO, single=True) == 0 and list(avro.read((tmp_path / "none.avro").read_bytes())) == []
+    monkeypatch.setattr(files, "PIECE", 200_000)
+    pieces = files.read_jsonl(spark, str(tmp_path / "a.jsonl.xz"), SCHEMA)
+    assert sorted(map(tuple, pieces.collect())) == want and pieces.rdd.getNumPartitions() == 4
+    lines = lzma.open(tmp_path / "a.jsonl.xz").read() + b"{\n"
+    (tmp_path / "bad.jsonl.xz").write_bytes(lzma.compress(lines))
+    with pytest.raises(Exception, match="line 60001"):
+        files.read_jsonl(spark, str(tmp_path / "bad.jsonl.xz"), SCHEMA).collect()
+
+
 def test_codecs_and_globs(spark, tmp_path):
     raw = b'{"id": 1}\n\n{"id": 2}\n'
     (tmp_path / "x.jsonl.xz").write_bytes(lzma.compress(raw))
